@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from lodestack.llm import exact_dedup, mixing, simhash
+import corpus_pipeline
+from lodestack.llm import bpe, exact_dedup, langid, mixing, simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_bpe": bpe.op1_bpe,
+    "op5_langid": langid.op5_langid,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
