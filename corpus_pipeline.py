@@ -1,4 +1,52 @@
-"""A training-data pipeline over documents: language ID, exact dedup, near-dedup, mixing, BPE."""
+"""A training-data pipeline over documents: language ID, exact dedup, near-dedup, mixing, BPE.
 
-STAGES = []
+Each stage works on all rows that its predecessor kept. The stages but the last return the columns of documents:
+language ID drops what is no language, the dedup stages keep one document of each group, mixing drops and repeats
+documents so that sources meet their targets, in training order. The last returns the tokens' digests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestack.llm import bpe, exact_dedup, langid, mixing, simhash
+from lodestack.llm.common import documents, keep
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs)
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_distinct_texts(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each_group(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", dedup_exact),
+    ("SimHash near-dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("BPE", tokenize),
+]
+
+#: Language ID and BPE can't be said in SQL; tests hold the pipeline against plain code.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
