@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestack.llm import bpe, exact_dedup, langid, mixing, simhash
+from lodestack.llm import bpe, exact_dedup, langid, mixing, packing, sharding, simhash, wordpiece
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_bpe": bpe.op1_bpe,
+    "op3_sharding": sharding.op3_sharding,
     "op5_langid": langid.op5_langid,
+    "op6_packing": packing.op6_packing,
+    "op7_token_counts": wordpiece.op7_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
