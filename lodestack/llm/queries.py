@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestack.llm import bpe, exact_dedup, langid, mixing, packing, sharding, simhash, wordpiece
+from lodestack.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, packing, sharding, simhash, toxicity, wordpiece
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_bpe": bpe.op1_bpe,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_langid": langid.op5_langid,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": wordpiece.op7_token_counts,
@@ -18,6 +20,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
