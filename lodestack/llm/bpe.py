@@ -11,6 +11,7 @@ import functools
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,15 @@ from lodestack.llm.common import documents
 #: The characters that count as white space in the pretoken pattern, and the pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FINE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^SPACE\p{L}\p{N}]+|[SPACE]+(?![^SPACE])|[SPACE]+".replace("SPACE", SPACE)
-#: Every match is one or more whole pretokens: a space opens a pretoken whenever other than white space follows it.
-COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE_ENTRIES = 300_000
+LATIN = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+#: Every match is one or more whole pretokens: a space opens a pretoken whenever other than white space follows it, and a
+#: run of letters ends one unless what follows may be a letter too.
+COARSE = re.compile(f" ?[{LATIN}]++(?![^\\x00-\\u024f])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+CACHE_ENTRIES = 500_000
 CACHE_KEY = 64
+#: Fragments of up to so many bytes are merged by plain scans.
+SHORT = 64
+NONE = 1 << 62
 DEFAULT = "byte_bpe_50k.json"
 
 
@@ -43,14 +49,14 @@ def byte_letters() -> dict[str, int]:
 class Memo(dict):
     """A bounded table of results; when it is full it starts anew."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.compute = compute
+        self.compute, self.entries = compute, entries
 
     def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= CACHE_KEY:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[key] = value
         return value
@@ -65,13 +71,13 @@ class ByteBpe:
         tokens = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         as_bytes = [(bytes(letters[c] for c in a), bytes(letters[c] for c in b)) for a, b in pairs]
-        self.merge = {(tokens[a], tokens[b]): (rank, tokens[a + b]) for rank, (a, b) in reversed(list(enumerate(as_bytes)))}
+        # the pair a, b under a << 20 | b: its rank above 20 bits, the merged token below
+        self.merge = {tokens[a] << 20 | tokens[b]: rank << 20 | tokens[a + b] for rank, (a, b) in reversed(list(enumerate(as_bytes)))}
         self.byte_ids = [tokens[bytes([b])] for b in range(256)]
-        inside = np.zeros((256, 256), bool)
+        self.inside = bytearray(1 << 16)
         for t in tokens:
             for a, b in zip(t, t[1:], strict=False):
-                inside[a, b] = True
-        self.inside = inside
+                self.inside[a << 8 | b] = 1
         size = max([*tokens.values(), *self.special.values()]) + 1
         self.token_bytes = [b""] * size
         for t, i in [*tokens.items(), *((s.encode(), i) for s, i in self.special.items())]:
@@ -79,44 +85,62 @@ class ByteBpe:
         self.tokens = tokens
         self.fine = regex.compile(FINE)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words, self.fragments = Memo(self._word), Memo(self._fragment)
+        self.words, self.fragments = Memo(self._word), Memo(self._fragment, CACHE_ENTRIES // 4)
 
     def cuts(self, piece: bytes) -> list[bytes]:
         """The fragments of a pretoken between byte pairs that no token holds."""
-        b = np.frombuffer(piece, np.uint8)
-        at = np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1
-        if not len(at):
-            return [piece]
-        ends = [0, *at.tolist(), len(piece)]
-        return [piece[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        inside, start, before, out = self.inside, 0, -1, []
+        for k, c in enumerate(piece):
+            if k and not inside[before << 8 | c]:
+                out.append(piece[start:k])
+                start = k
+            before = c
+        out.append(piece[start:])
+        return out
 
     def _fragment(self, fragment: bytes) -> bytes:
         ids = [self.byte_ids[b] for b in fragment]
-        return np.array(self._merged(ids) if len(ids) > 1 else ids, "<i4").tobytes()
+        return array("i", self._merged(ids) if len(ids) <= SHORT else self._merged_long(ids)).tobytes()
 
     def _merged(self, ids: list[int]) -> list[int]:
-        """Merge the pair of least rank, the leftmost first, until none is left; a heap over a linked list."""
-        n, merge = len(ids), self.merge
+        """Merge the pair of least rank, the leftmost first, until none is left."""
+        get = self.merge.get
+        found = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (least := min(found)) < NONE:
+            i = found.index(least)
+            ids[i : i + 2] = [new] = [least & 0xFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = get(ids[i - 1] << 20 | new, NONE)
+            if i < len(found):
+                found[i] = get(new << 20 | ids[i + 1], NONE)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap over a linked list, for fragments of any length."""
+        n, get = len(ids), self.merge.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := merge.get((ids[i], ids[i + 1])))]
+        heap = [(found, i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := get(ids[i] << 20 | ids[i + 1], NONE)) < NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            found, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = found & 0xFFFFF, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := merge.get((new, ids[k])):
-                    heapq.heappush(heap, (found[0], i, new, ids[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merge.get((ids[h], new))):
-                heapq.heappush(heap, (found[0], h, ids[h], new, found[1]))
+                if (found := get(new << 20 | ids[k], NONE)) < NONE:
+                    heapq.heappush(heap, (found, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (found := get(ids[h] << 20 | new, NONE)) < NONE:
+                heapq.heappush(heap, (found, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
-        return b"".join([self.fragments[f] for piece in self.fine.findall(word) for f in self.cuts(piece.encode("utf-8", "surrogatepass"))])
+        letters = word[1:] if word[0] == " " else word
+        pieces = [word] if letters.isalpha() else self.fine.findall(word)
+        return b"".join([self.fragments[f] for piece in pieces for f in self.cuts(piece.encode("utf-8", "surrogatepass"))])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
@@ -139,6 +163,13 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what stands in memory beside them."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """Texts of an Arrow string column one by one, null as empty; bytes that aren't UTF-8 become U+FFFD."""
     for x in column.cast(pa.large_binary()):
@@ -158,7 +189,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [bpe.encode(t) for t in texts_of(batch.column(at))]
             ends = np.cumsum([0, *map(len, found)]) // 4
             flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
@@ -176,11 +207,11 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(at)
-            flat = column.values.fill_null(-1).to_numpy().tolist()
+            flat = column.values.fill_null(-1).to_numpy()
             ends = column.offsets.to_numpy().tolist()
-            out = [bpe.decode(flat[i:j]) if ok else "" for i, j, ok in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
+            out = [bpe.decode(flat[i:j].tolist()) if ok else "" for i, j, ok in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*rest, text])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(text, T.StringType())]))
