@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lodestack.plans import retrieval
+    from lodestack.plans import catalogue, retrieval
 
-    return [retrieval]
+    return [retrieval, catalogue]
 
 
 def queries() -> dict:
