@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lodestack.plans import catalogue, retrieval
+    from lodestack.plans import catalogue, dialogue, retrieval
 
-    return [retrieval, catalogue]
+    return [retrieval, catalogue, dialogue]
 
 
 def queries() -> dict:
