@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lodestack.plans import catalogue, dialogue, retrieval
+    from lodestack.plans import catalogue, dialogue, etl, retrieval
 
-    return [retrieval, catalogue, dialogue]
+    return [retrieval, catalogue, dialogue, etl]
 
 
 def queries() -> dict:
