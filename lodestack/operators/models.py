@@ -27,7 +27,8 @@ def embed(text: Column, factory: Factory, batch: int = 32) -> Column:
                 out += [list(map(float, v)) for v in model(given.iloc[k : k + batch].tolist())]
             if len(out) != len(given):
                 raise ValueError("the model returned another number of vectors than it got texts")
-            yield pd.Series(out, index=given.index, dtype=object).reindex(texts.index)
+            vectors = iter(out)
+            yield pd.Series([next(vectors) if known else None for known in texts.notna()], index=texts.index, dtype=object)
 
     return run(text)
 
