@@ -152,3 +152,44 @@ def like_pattern(query: Column) -> Column:
     for c in "!%_":
         out = F.replace(out, F.lit(c), F.lit("!" + c))
     return F.concat(F.lit("%"), out, F.lit("%"))
+
+
+# English for labels of the model catalogue that are in Chinese.
+ENGLISH = {
+    "智谱": "Zhipu",
+    "可选维度 256/512/1024/2048": "Optional dimensions: 256/512/1024/2048",
+    "固定 1024 维": "Fixed at 1024 dimensions",
+    "文本重排序": "Text reranking",
+    "对话补全": "Chat completions",
+    "对话补全（异步）": "Async chat completions",
+    "图像生成": "Image generation",
+    "图像生成（异步）": "Async image generation",
+    "文本分词器": "Text tokenizer",
+    "文本转语音": "Text to speech",
+    "语音转文本": "Speech to text",
+    "音色复刻": "Voice cloning",
+    "音色列表": "Voice list",
+    "删除音色": "Delete voice",
+    "文档解析": "Document parsing",
+    "查询异步结果": "Async result lookup",
+    "视频生成（异步）": "Async video generation",
+}
+
+
+def humanized(name: Column) -> Column:
+    return F.initcap(F.trim(F.translate(name, "_-", "  ")))
+
+
+def english_display(label: Column, fallback: Column) -> Column:
+    """A label with Chinese and no Latin letter in English: from the list, else the fallback; other labels as they are."""
+    chinese = label.rlike("[㐀-鿿]") & ~label.rlike("[A-Za-z]")
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENGLISH.items() for x in pair]), label)
+    return F.when(chinese, F.coalesce(known, fallback)).otherwise(label)
+
+
+def private_address(host: Column) -> Column:
+    """Whether a host is an IPv4 literal that isn't public; names would need DNS and give null."""
+    parts = F.transform(F.split(host, r"\."), lambda p: p.try_cast("int"))
+    a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    local = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19))
+    return F.when(host.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), local)

@@ -140,18 +140,64 @@ def evidence_texts(numbered: DataFrame, chunks: DataFrame, pages: DataFrame) ->
     return out.withColumn("text", F.coalesce("by_chunk", "by_url", "quote")).drop("by_chunk", "by_url")
 
 
-# Words by which a question asks for, needs or forbids a web search.
-WEB_REQUEST = "search the web|search online|web search|look online|on the internet|联网|上网"
-WEB_OPT_OUT = "do not search the web|don't search the web|without web|no web search|only use the documents|不要联网"
-FRESH = "latest|most recent|today|current|recent|最新|近期"
-COMPARISON = "compare|comparison|versus|difference|比较|对比"
-WEB_WORD = "web|online|internet|news|网"
+# Words by which a question asks for fresh facts, a comparison, names the web, forbids or requests a web search.
+FRESH = ("up to date", "up-to-date", "still accurate", "still current", "latest", "newest", "most recent", "newer", "最新", "最近更新", "是否仍然有效", "是否仍有效", "是否仍然适用", "是否过时", "现行")
+COMPARISON = ("对比", "比对", "核实", "核对", "compare", "cross-check", "cross check", "verify")
+WEB_WORDS = ("web", "online", "internet", "网页", "网站", "网上", "上网", "联网", "互联网")
+OPT_OUT = ("do not search the web", "don't search the web", "no web search", "without web search", "offline only", "不要搜索网页", "不要上网", "不要联网", "不需要联网", "无需联网", "仅使用文档", "只使用文档")
+REQUESTS = ("search the web", "search the internet", "search online", "look it up online", "look this up online", "check online", "check the web", "google", "上网搜", "上网查", "网上搜", "网上查", "联网搜索", "联网查", "搜索网页", "搜一下网", "帮我上网")
 
 
-def web_intent(question: Column) -> Column:
-    """opt_out beats request beats freshness beats a comparison that names the web; else none."""
+def _has(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def requires_web_check(question: Column) -> Column:
+    """Fresh facts, or a comparison that names the web, unless the question forbids a web search."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    return ~_has(q, OPT_OUT) & (_has(q, FRESH) | (_has(q, COMPARISON) & _has(q, WEB_WORDS)))
+
+
+def requests_web_search(question: Column) -> Column:
     q = F.lower(F.coalesce(question, F.lit("")))
-    return F.when(q.rlike(WEB_OPT_OUT), "opt_out").when(q.rlike(WEB_REQUEST), "request").when(q.rlike(FRESH), "check").when(q.rlike(COMPARISON) & q.rlike(WEB_WORD), "check").otherwise("none")
+    return ~_has(q, OPT_OUT) & _has(q, REQUESTS)
+
+
+def fallback_action(last_tool: Column, sufficient: Column, web_check: Column, allowed: Column) -> Column:
+    """The next tool where a model names none: up the ladder of evidence tiers, and to the answer where that ends.
+
+    last_tool is null before the first call; allowed is an array of names.
+    """
+    may = lambda tool: F.array_contains(allowed, tool)
+    documents = last_tool.isin("search_internal_documents", "search_full_corpus")
+    tier = documents | (last_tool == "search_web")
+    yes = F.coalesce(sufficient, F.lit(False))
+    return (
+        F.when(documents & yes & web_check & may("search_web"), "search_web")
+        .when(tier & yes, "prepare_final_answer")
+        .when((last_tool == "search_internal_documents") & may("search_full_corpus"), "search_full_corpus")
+        .when((last_tool == "ask_user") & may("search_web"), "search_web")
+        .when(last_tool.isNull() & may("search_internal_documents"), "search_internal_documents")
+        .when(may("prepare_final_answer"), "prepare_final_answer")
+        .otherwise(F.get(F.array_sort(allowed), F.lit(0)))
+    )
+
+
+def started_turns(messages: DataFrame, requests: DataFrame, n: int = 10) -> DataFrame:
+    """New rows for requests(session_id, question) that have a session: the question and a pending answer behind the session's last message.
+
+    history is what a model gets: the newest n messages from before, oldest first, as JSON.
+    """
+    old = history(messages, n).groupBy("session_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("position", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("history"))
+    last = messages.groupBy("session_id").agg(F.max("seq").alias("last"))
+    rows = requests.join(last, "session_id").join(old, "session_id", "left")
+    new = F.array(F.struct((F.col("last") + 1).alias("seq"), F.lit("user").alias("role"), F.col("question").alias("content"), F.lit("complete").alias("status")), F.struct((F.col("last") + 2).alias("seq"), F.lit("assistant").alias("role"), F.lit("").alias("content"), F.lit("streaming").alias("status")))
+    return rows.select("session_id", "history", F.explode(new).alias("m")).select("session_id", "history", "m.*")
+
+
+def transcript(messages: DataFrame, json_column: str, schema: str) -> DataFrame:
+    """messages with a JSON column read as an array; what can't be read is an empty one."""
+    return messages.withColumn(json_column, F.coalesce(F.from_json(json_column, schema), F.from_json(F.lit("[]"), schema)))
 
 
 STATUS_VIEW = {"uploaded": ("queued", 0), "ocr": ("ocr", 25), "parsed": ("chunking", 50), "annotated": ("embedding", 75), "ready": ("indexed", 100), "failed": ("failed", 100)}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lodestack.plans import catalogue, dialogue, etl, retrieval
+    from lodestack.plans import answering, catalogue, dialogue, etl, retrieval
 
-    return [retrieval, catalogue, dialogue, etl]
+    return [retrieval, catalogue, dialogue, etl, answering]
 
 
 def queries() -> dict:

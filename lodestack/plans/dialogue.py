@@ -178,7 +178,29 @@ def cited(spark, sf_dir):
 
 
 def web_intents(spark, sf_dir):
-    return questions(spark, sf_dir).select("query_id", H.web_intent(F.concat("question", F.when(F.col("query_id") % 3 == 0, F.lit(" search the web")).when(F.col("query_id") % 3 == 1, F.lit(" without web")).otherwise(F.lit(" compare news")))).alias("intent"))
+    i = F.col("query_id")
+    q = F.concat("question", F.when(i % 4 == 0, " Please SEARCH the web").when(i % 4 == 1, " no web search").when(i % 4 == 2, " verify online").otherwise(" verify this"))
+    return questions(spark, sf_dir).select("query_id", H.requires_web_check(q).alias("requires_check"), H.requests_web_search(q).alias("requests_search"))
+
+
+def fallback_actions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    last = F.element_at(F.array(*[F.lit(x) for x in (None, "search_internal_documents", "search_full_corpus", "search_web", "ask_user")]), (i % 5).cast("int") + 1)
+    allowed = F.array_compact(F.array(F.when(i % 2 == 0, "search_full_corpus"), F.when(i % 3 == 0, "search_web"), F.when(i % 7 > 0, "prepare_final_answer"), F.lit("search_internal_documents")))
+    return e.select("event_id", H.fallback_action(last, F.col("value") > 50, F.col("event_type") == "click", allowed).alias("action"))
+
+
+def started(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("session_id"), F.concat(F.lit("And "), F.col("conv_id").cast("string"), F.lit("?")).alias("question")).unionByName(spark.createDataFrame([(-1, "nobody")], "session_id long, question string"))
+    out = H.started_turns(messages(spark, sf_dir), asked, 3)
+    return out.select("session_id", "seq", "role", "content", "status", F.size(F.from_json("history", "array<struct<role:string,content:string>>")).cast("long").alias("n_history"))
+
+
+def transcripts(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("citations_json", F.when(F.col("seq") % 3 == 0, F.concat(F.lit('[{"number": '), F.col("seq").cast("string"), F.lit("}]"))).when(F.col("seq") % 3 == 1, "broken ["))
+    out = H.transcript(m, "citations_json", "array<struct<number:int>>")
+    return out.select("session_id", "seq", F.size("citations_json").cast("long").alias("n_citations"), F.get("citations_json", F.lit(0))["number"].alias("first_number"))
 
 
 def status_views(spark, sf_dir):
@@ -227,7 +249,7 @@ QUERIES = {
     "f3_f7_filter_inference": filter_inference, "p8_p11_filter_application": filter_application, "e10_missing_regions": region_coverage, "e9_region_supplement": region_supplement,
     "w6_turn_index": turns, "w10_current_turn": current_turn, "w7_history": history, "j5_c3_sessions": session_list, "a9_token_usage": usage, "a10_tool_budget": budgets, "c5_c8_tools_and_route": tool_choice,
     "t8_newest_clicks": newest_clicks, "w8_citation_numbers": citations, "t9_page_log": page_log, "w5_c11_references": references, "c9_trace_summary": traces, "c10_filter_notice": notices, "e14_new_ground": grounds,
-    "e15_evidence_texts": evidence_texts, "c2_final_messages": final_messages, "e13_cited_tiers": cited, "f18_web_intent": web_intents, "d18_status_view": status_views, "x7_suggestions": suggestions,
+    "e15_evidence_texts": evidence_texts, "c2_final_messages": final_messages, "e13_cited_tiers": cited, "f18_web_intent": web_intents, "c7_fallback_action": fallback_actions, "c1_started_turns": started, "c4_transcript": transcripts, "d18_status_view": status_views, "x7_suggestions": suggestions,
     "a16_recall": recall, "a17_acceptance": acceptance, "a18_calibration": threshold, "a19_two_stage": two_stage,
 }
 
@@ -273,7 +295,10 @@ SQL = {
     "e15_evidence_texts": "SELECT d.doc_id AS number, md5(coalesce(CASE WHEN d.doc_id % 3 = 0 THEN left(d.text, 100) END, left(p.html, 80), left(d.text, 50))) AS text_md5 FROM documents d LEFT JOIN pages p ON d.doc_id % 2 = 0 AND p.page_id = d.doc_id % 100 AND p.page_id < 50",
     "c2_final_messages": f"WITH {M_SQL}, x AS (SELECT session_id * 1000 + seq AS message_id, content FROM m) SELECT message_id, md5(CASE WHEN message_id % 3 = 0 THEN content WHEN message_id % 2 = 0 THEN 'new ' || message_id WHEN message_id % 5 = 0 THEN content ELSE '' END) AS content_md5, CASE WHEN message_id % 3 = 0 THEN 'streaming' WHEN message_id % 5 = 0 THEN 'error' ELSE 'complete' END AS status FROM x",
     "e13_cited_tiers": "WITH c AS (SELECT item_id AS answer_id, item_id % 4 AS a, item_id % 3 AS b, unnest([0, 1, 2, 3]) AS number FROM benchmark), u AS (SELECT answer_id, number, CASE WHEN number = a THEN 0 ELSE 1 END AS place, a, b FROM c WHERE number IN (a, b)), t AS (SELECT answer_id, ['web', 'internal', 'full_corpus', 'full_corpus'][number + 1] AS tier, place, number = 2 AND 1 IN (a, b) AS gone FROM u) SELECT answer_id, tier, min(place)::INTEGER AS first_place FROM t WHERE NOT gone GROUP BY 1, 2",
-    "f18_web_intent": f"WITH {PHRASE_SQL} SELECT query_id, CASE WHEN query_id % 3 = 1 THEN 'opt_out' WHEN query_id % 3 = 0 THEN 'request' ELSE 'check' END AS intent FROM questions",
+    "f18_web_intent": f"WITH {PHRASE_SQL} SELECT query_id, query_id % 4 <> 1 AND (query_id % 8 = 3 OR query_id % 4 = 2 OR (query_id % 8 = 4)) AS requires_check, query_id % 4 = 0 AS requests_search FROM questions",
+    "c7_fallback_action": "WITH e AS (SELECT event_id, [NULL, 'search_internal_documents', 'search_full_corpus', 'search_web', 'ask_user'][event_id % 5 + 1] AS l, value > 50 AS ok, event_type = 'click' AS w, event_id % 2 = 0 AS c, event_id % 3 = 0 AS b, event_id % 7 > 0 AS f FROM events) SELECT event_id, CASE WHEN event_id % 5 IN (1, 2) AND ok AND w AND b THEN 'search_web' WHEN event_id % 5 IN (1, 2, 3) AND ok THEN 'prepare_final_answer' WHEN event_id % 5 = 1 AND c THEN 'search_full_corpus' WHEN event_id % 5 = 4 AND b THEN 'search_web' WHEN event_id % 5 = 0 THEN 'search_internal_documents' WHEN f THEN 'prepare_final_answer' WHEN c THEN 'search_full_corpus' ELSE 'search_internal_documents' END AS action FROM e",
+    "c1_started_turns": f"WITH {M_SQL}, l AS (SELECT session_id, max(seq) AS last, least(3, count(*)) AS n FROM m GROUP BY 1) SELECT l.session_id, last + k AS seq, CASE k WHEN 1 THEN 'user' ELSE 'assistant' END AS role, CASE k WHEN 1 THEN 'And ' || l.session_id || '?' ELSE '' END AS content, CASE k WHEN 1 THEN 'complete' ELSE 'streaming' END AS status, n AS n_history FROM l JOIN m ON m.session_id = l.session_id AND m.seq = 0, (VALUES (1), (2)) t(k)",
+    "c4_transcript": f"WITH {M_SQL} SELECT session_id, seq, CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_citations, CASE WHEN seq % 3 = 0 THEN seq END::INTEGER AS first_number FROM m",
     "d18_status_view": f"WITH {LIBRARY_SQL.strip()} SELECT CASE status WHEN 'uploaded' THEN 'queued' WHEN 'ocr' THEN 'ocr' WHEN 'parsed' THEN 'chunking' WHEN 'annotated' THEN 'embedding' WHEN 'ready' THEN 'indexed' ELSE 'failed' END AS shown, CASE status WHEN 'uploaded' THEN 0 WHEN 'ocr' THEN 25 WHEN 'parsed' THEN 50 WHEN 'annotated' THEN 75 ELSE 100 END AS progress, count(*) AS n FROM library GROUP BY ALL",
     "x7_suggestions": "WITH k AS (SELECT conv_id AS group_id, turn AS position, role, text, regexp_replace(lower(text), '[^a-z0-9一-鿿]+', '', 'g') AS full_key, rtrim(left(trim(text, ' '), 60), ' ') AS short FROM conversations), c AS (SELECT group_id, position, short, regexp_replace(lower(short), '[^a-z0-9一-鿿]+', '', 'g') AS key FROM k), f AS (SELECT * FROM c WHERE key <> '' AND NOT EXISTS (SELECT 1 FROM k WHERE k.group_id = c.group_id AND (k.position = 0 OR (k.role = 'user' AND k.position % 4 = 1)) AND k.full_key = c.key) QUALIFY row_number() OVER (PARTITION BY group_id, key ORDER BY position) = 1) SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY position)::INTEGER AS kept, md5(short) AS text_md5 FROM f QUALIFY kept <= 3",
     "a16_recall": f"WITH {KNN_SQL}, f AS (SELECT case_id, min(rank) FILTER (relevant) AS r FROM ev GROUP BY 1) SELECT count(*) AS cases, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM f",
