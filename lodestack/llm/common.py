@@ -1,39 +1,13 @@
-"""What the operators share: the shared folder, written intermediate tables, connected components."""
+"""What the operators share: tables, folds, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.storage import keep, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see.
-
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one machine)
-    is a temporary folder made, once for each application.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    The result has no lineage above the files, so a lost executor costs no recomputation of what
-    stands before it, and what reads it twice computes it once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "crc32_mod5", "documents", "keep", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
