@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions.vectors import cosine_distance
-from lodestack.operators import evidence, filters
+from lodestack.operators import evidence, filters, knn
 from lodestack.storage import keep
 
 
@@ -28,6 +28,23 @@ def nearest_in_scope(queries: DataFrame, corpus: DataFrame, scope: DataFrame, k:
     return distances(known, queries, corpus).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """nearest_in_scope where filters leave documents; where they leave none, or there are none, all documents in blocks."""
+    hit = keep(wanted.alias("f").join(docs.alias("d"), filters.matches() & ~_open()).select("f.query_id", "d.doc_id"), "answer-scope")
+    rest = queries.join(wanted.select("query_id"), "query_id", "left_semi").join(hit.select("query_id").distinct(), "query_id", "left_anti")
+    everywhere = knn.nearest(rest, corpus.join(docs.select("doc_id"), "doc_id", "left_semi"), k)
+    columns = ["query_id", "doc_id", "distance", "rank"]
+    return nearest_in_scope(queries, corpus, hit, k).select(*columns).unionByName(everywhere.select(*columns))
+
+
+def _open():
+    """Whether a row of filters, as f, sets none."""
+    from functools import reduce
+
+    arrays = reduce(lambda a, b: a & b, [F.size(f"f.{d}") == 0 for d in filters.DIMENSIONS])
+    return arrays & F.col("f.year_from").isNull() & F.col("f.year_to").isNull()
+
+
 def _decide(asked: DataFrame, found: DataFrame, docs: DataFrame, max_distance: float, budget: int) -> tuple[DataFrame, DataFrame]:
     rows = found.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "question"), "query_id").withColumn("reranker_score", F.lit(None).cast("double"))
     rows = keep(rows, "answer-rows")
@@ -45,7 +62,7 @@ def answerable(asked: DataFrame, wanted: DataFrame, queries: DataFrame, corpus:
     """
     docs, wanted = keep(docs.select("doc_id", "text", "policy_areas", "country_region", "source_organisation", "language", "keywords", "year"), "answer-docs"), keep(wanted, "answer-filters")
     status = keep(filters.match_counts(wanted, docs), "answer-status")
-    found = keep(nearest_in_scope(queries, corpus, filters.scope(wanted, docs), k), "answer-found")
+    found = keep(search(queries, corpus, wanted, docs, k), "answer-found")
     judged, kept = _decide(asked, found, docs, max_distance, budget)
     regions = wanted.select("query_id", F.explode("country_regions").alias("region"))
     lacking = filters.missing_regions(regions, kept.select("query_id", "doc_id", "text"), docs).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("region")), ", ").alias("lacking"))
@@ -55,7 +72,7 @@ def answerable(asked: DataFrame, wanted: DataFrame, queries: DataFrame, corpus:
     first = keep(first.withColumn("reason", reason).withColumn("sufficient", F.col("reason").isNull()), "answer-first")
     again = F.col("applied") & ~F.col("fallback") & ~F.col("sufficient") & (F.col("n_regions") <= 1)
     relaxed = asked.join(first.where(again).select("query_id"), "query_id", "left_semi")
-    wide = nearest_in_scope(queries, corpus, relaxed.select("query_id").join(docs.select("doc_id"), F.lit(True)), k)
+    wide = knn.nearest(queries.join(relaxed.select("query_id"), "query_id", "left_semi"), corpus.join(docs.select("doc_id"), "doc_id", "left_semi"), k)
     judged, kept = _decide(relaxed, wide, docs, max_distance, budget)
     second = judged.join(kept.groupBy("query_id").agg(F.count("*").alias("n_kept")), "query_id", "left").select("query_id", "sufficient", "reason", F.lit(True).alias("applied"), F.lit(True).alias("fallback"), "n_kept")
     out = first.where(~again).select("query_id", "sufficient", "reason", "applied", "fallback", "n_kept").unionByName(second)

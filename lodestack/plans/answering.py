@@ -32,11 +32,8 @@ def asked_vectors(spark, sf_dir):
 
 
 def scoped_search(spark, sf_dir):
-    from lodestack.operators import filters
-
     queries, rows = asked_vectors(spark, sf_dir)
-    scope = filters.scope(inferred(spark, sf_dir), library(spark, sf_dir))
-    return retrieve.nearest_in_scope(queries, rows, scope, 5).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+    return retrieve.search(queries, rows, inferred(spark, sf_dir), library(spark, sf_dir), 5).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
 def decisions(spark, sf_dir):
