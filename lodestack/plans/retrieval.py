@@ -13,6 +13,7 @@ from lodestack.functions import text as X
 from lodestack.functions import vectors as V
 from lodestack.operators import bm25, evidence, hybrid, knn
 from lodestack.plans.library import CHUNKS_SQL, chunks, table
+from lodestack.storage import keep
 
 K = 20
 TOKENS_SQL = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: NOT list_contains(string_split('" + " ".join(X.KEYWORD_STOPS) + r"', ' '), w))"
@@ -165,13 +166,13 @@ gate AS (
 )"""
 
 
-def contexts(spark, sf_dir, budget=3000):
-    rows = gated(spark, sf_dir).where("relevant").select("query_id", F.col("new_rank").alias("position"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), (F.col("doc_id") % 9 + 1).alias("page"), "text")
+def contexts(rows, budget=3000):
+    rows = rows.where("relevant").select("query_id", F.col("new_rank").alias("position"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), (F.col("doc_id") % 9 + 1).alias("page"), "text")
     return evidence.context(rows, budget)
 
 
 def context_packing(spark, sf_dir):
-    return contexts(spark, sf_dir).select("query_id", F.length("context").cast("long").alias("context_chars"), F.md5("context").alias("context_md5"), "truncated", "n_citations")
+    return contexts(gated(spark, sf_dir)).select("query_id", F.length("context").cast("long").alias("context_chars"), F.md5("context").alias("context_md5"), "truncated", "n_citations")
 
 
 CONTEXT_SQL = """
@@ -181,10 +182,11 @@ ctx AS (SELECT query_id, string_agg(substring(block, 1, left_::BIGINT), chr(10)
 
 
 def evidence_gate(spark, sf_dir):
-    rows = gated(spark, sf_dir)
+    # written once: chunks and contexts both read it
+    rows = keep(gated(spark, sf_dir), "gated")
     asked = questions(spark, sf_dir).select((F.col("query_id") * 100).alias("query_id"), F.col("text").alias("question"), F.lit(True).alias("has_embeddings"))
     judged = rows.select("query_id", F.col("new_rank").alias("position"), "text", "distance", "reranker_score")
-    return evidence.assess(asked, judged, contexts(spark, sf_dir), max_distance=0.6)
+    return evidence.assess(asked, judged, contexts(rows), max_distance=0.6)
 
 
 GATE_SQL = f"""
