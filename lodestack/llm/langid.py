@@ -33,8 +33,8 @@ class Settings:
     #: Cost of a further language, times the logarithm of the number of trigrams.
     penalty: float = 6.0
     iterations: int = 12
-    #: A document whose background holds more than this is no language; see accepted().
-    max_background: float = 0.5
+    #: A document whose background holds more than this is no language; see accepted(). Short texts full of keys or addresses reach a half and are clean.
+    max_background: float = 0.8
 
 
 def _letters() -> np.ndarray:

@@ -20,7 +20,7 @@ def test_pipeline_equals_plain_code(spark):
     rows = {}
     for r in docs.collect():
         lang, _, _, _, background = langid.infer(r.text, model)
-        if lang != "und" and background <= 0.5:
+        if lang != "und" and background <= langid.Settings().max_background:
             rows[r.doc_id] = r
     last = {}
     for i, r in rows.items():
