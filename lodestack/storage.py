@@ -24,12 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+    """Write df as Parquet in the application's part of the shared folder and read it back.
 
     The result has no lineage above the files, so a lost executor costs no recomputation of what
-    stands before it, and what reads it twice computes it once.
+    stands before it, and what reads it twice computes it once. Results are read from there lazily, so the
+    folder, lodestack-<application id>, is for whoever runs the application to remove when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
