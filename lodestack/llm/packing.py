@@ -7,24 +7,48 @@ the position of each id within its segment, and which document and offset each s
 
 from __future__ import annotations
 
+import base64
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe
+from lodestack.llm.bpe import texts_of
 from lodestack.llm.common import documents
 
 ROW_TOKENS = 2048
 BLOCK_TOKENS = 4_000_000
+#: An id that the vocabulary leaves free.
 PAD = 50256
+DEFAULT = "byte_bpe_50k.tiktoken"
+LONG_RUN = 4000
+SPACE_RUN = re.compile(f"[{bpe.SPACE}]{{{LONG_RUN}}}")
 OUT = "row_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, doc_offsets array<long>"
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str) -> tiktoken.Encoding:
+    """The vocabulary of a rank file, loaded once for each Python worker."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoded(text: str, fast: tiktoken.Encoding, merges: str) -> np.ndarray:
+    """The ids of a text. The rank encoder can't take very long runs of white space; a text that has one goes to the merge encoder of the same vocabulary."""
+    if len(text) > LONG_RUN and SPACE_RUN.search(text):
+        return np.frombuffer(bpe.tokenizer(merges).encode(text), "<i4")
+    return np.array(fast.encode_ordinary(text), np.int32)
+
+
 class CapacityTree:
     """Rows by free capacity; a segment tree over capacities finds the smallest that is large enough."""
 
@@ -100,8 +124,8 @@ def _packed(pieces: list[tuple[int | None, int, np.ndarray]], capacity: int, pad
     return pa.record_batch(columns, [x.split()[0] for x in OUT.split(", ")])
 
 
-def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS, pad: int = PAD, path: str | None = None) -> DataFrame:
-    """Packed rows of the tokens of docs(doc_id, text).
+def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS, pad: int = PAD, path: str | None = None, merges: str | None = None) -> DataFrame:
+    """Packed rows of the tokens of docs(doc_id, text). path is a rank file, merges the same vocabulary with its merges.
 
     ids has row_tokens ids, the last of them `pad` beyond n_tokens. cu_seqlens starts with 0 and ends with n_tokens; segment k is a
     run of document doc_ids[k] from token doc_offsets[k] on; position_ids starts at 0 in each segment and is 0 in the padding.
@@ -109,13 +133,13 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOC
     have no tokens and are in no row. A null doc_id stands as null; rows that repeat a doc_id are packed each. row_id holds the
     partition above 33 bits and counts below. An empty table gives no rows.
     """
-    path = path or public_tokenizers.path(bpe.DEFAULT)
+    path, merges = path or public_tokenizers.path(DEFAULT), merges or public_tokenizers.path(bpe.DEFAULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pieces, held, next_id = bpe.tokenizer(path), [], 0, TaskContext.get().partitionId() << 33
+        own, pieces, held, next_id = tokenizer(path), [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), bpe.texts_of(batch.column(1)), strict=True):
-                ids = np.frombuffer(own.encode(text), "<i4")
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                ids = encoded(text, own, merges)
                 for at in range(0, len(ids), row_tokens):
                     pieces.append((doc_id, at, ids[at : at + row_tokens]))
                     held += len(pieces[-1][2])
@@ -130,5 +154,22 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOC
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
 
 
+def binary_rows(packed: DataFrame, width: int = 2) -> DataFrame:
+    """pack()'s rows with ids and position_ids as little-endian unsigned binary of `width` bytes each, for loaders that map files; ids that don't fit are an error."""
+    kinds, names = {2: "<u2", 4: "<u4"}, ["row_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "doc_offsets"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(names, batch.columns, strict=True))
+            for name in ("ids", "position_ids"):
+                values, ends = columns[name].values.to_numpy(), columns[name].offsets.to_numpy()
+                if len(values) and (values.min() < 0 or values.max() >= 1 << 8 * width):
+                    raise ValueError(f"{name} don't fit {width} bytes")
+                columns[name] = pa.array([values[i:j].astype(kinds[width]).tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.record_batch([columns[n] for n in names], names)
+
+    return packed.select(*names).mapInArrow(run, OUT.replace(" ids array<int>", " ids binary").replace("position_ids array<int>", "position_ids binary"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))

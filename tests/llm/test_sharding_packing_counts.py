@@ -110,6 +110,20 @@ def test_packed_rows_hold_every_document(spark, block):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_binary_rows_hold_the_same_ids(spark, tmp_path):
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA)
+    packed = packing.pack(docs, row_tokens=64)
+    packing.binary_rows(packed).write.parquet(str(tmp_path / "b"))
+    got = {r.row_id: (np.frombuffer(r.ids, "<u2").tolist(), np.frombuffer(r.position_ids, "<u2").tolist(), r.cu_seqlens) for r in spark.read.parquet(str(tmp_path / "b")).collect()}
+    assert got == {r.row_id: (r.ids, r.position_ids, r.cu_seqlens) for r in packed.collect()}
+
+
+@pytest.mark.parametrize("text", ["a" + "\n" * 100_000 + "b", "x" * 200_000, "ab1 " * 50_000, "it's  a\n\n b", ""])
+def test_long_texts_are_encoded_whole(text):
+    fast = packing.tokenizer(public_tokenizers.path(packing.DEFAULT))
+    assert packing.encoded(text, fast, PATH).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 def greedy(word, first, later):
     n, at = 0, 0
     while at < len(word):
