@@ -31,7 +31,7 @@ LATIN = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 #: Every match is one or more whole pretokens: a space opens a pretoken whenever other than white space follows it, and a
 #: run of letters ends one unless what follows may be a letter too.
 COARSE = re.compile(f" ?[{LATIN}]++(?![^\\x00-\\u024f])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
 CACHE_KEY = 64
 #: Fragments of up to so many bytes are merged by plain scans.
 SHORT = 64
@@ -62,13 +62,33 @@ class Memo(dict):
         return value
 
 
-class ByteBpe:
+class Vocabulary:
+    """The bytes of each token of a byte-level vocabulary file."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters, model = byte_letters(), spec["model"]
+            self._read(json.load(f))
+
+    def _read(self, spec: dict) -> None:
+        letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        tokens = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+        self.tokens = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.token_bytes = [b""] * (max([*self.tokens.values(), *self.special.values()]) + 1)
+        for t, i in [*self.tokens.items(), *((s.encode(), i) for s, i in self.special.items())]:
+            self.token_bytes[i] = t
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; ids outside the vocabulary add nothing, broken UTF-8 becomes U+FFFD."""
+        known = len(self.token_bytes)
+        if ids and not 0 <= min(ids) <= max(ids) < known:
+            ids = [i for i in ids if 0 <= i < known]
+        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class ByteBpe(Vocabulary):
+    def _read(self, spec: dict) -> None:
+        super()._read(spec)
+        letters, tokens, model = byte_letters(), self.tokens, spec["model"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         as_bytes = [(bytes(letters[c] for c in a), bytes(letters[c] for c in b)) for a, b in pairs]
         # the pair a, b under a << 20 | b: its rank above 20 bits, the merged token below
@@ -78,11 +98,6 @@ class ByteBpe:
         for t in tokens:
             for a, b in zip(t, t[1:], strict=False):
                 self.inside[a << 8 | b] = 1
-        size = max([*tokens.values(), *self.special.values()]) + 1
-        self.token_bytes = [b""] * size
-        for t, i in [*tokens.items(), *((s.encode(), i) for s, i in self.special.items())]:
-            self.token_bytes[i] = t
-        self.tokens = tokens
         self.fine = regex.compile(FINE)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words, self.fragments = Memo(self._word), Memo(self._fragment, CACHE_ENTRIES // 4)
@@ -149,13 +164,6 @@ class ByteBpe:
         parts = self.split_special.split(text)
         return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else b"".join(map(self.words.__getitem__, COARSE.findall(p))) for k, p in enumerate(parts))
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; ids outside the vocabulary add nothing, broken UTF-8 becomes U+FFFD."""
-        known = len(self.token_bytes)
-        if ids and not 0 <= min(ids) <= max(ids) < known:
-            ids = [i for i in ids if 0 <= i < known]
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
-
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteBpe:
@@ -163,6 +171,11 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, which bounds what stands in memory beside them."""
     for batch in batches:
@@ -206,7 +219,7 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | No
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = vocabulary(path)
         for batch in slices(batches):
             column = batch.column(at)
             flat = column.values.fill_null(-1).to_numpy()

@@ -33,6 +33,8 @@ class Settings:
     max_terms: int = 2000
     #: A term must tell the classes apart by this log-likelihood ratio at least.
     min_ratio: float = 12.0
+    #: And be so many times as frequent in one class as in the other; what only comes with a language or a length isn't.
+    min_lift: float = 2.5
     min_examples: int = 3
     neighbours: int = 25
     block: int = 64
@@ -120,10 +122,13 @@ class BlockMaxIndex:
                 # rounding aside, no example of a block scores more than its bound
                 order = order[: max(done, int((bound[order] >= least - 1e-9).sum()))]
             step = len(order)
-        rounded = np.round(scores, 9)
-        best = np.lexsort((np.arange(self.n), -rounded))[:k]
-        best = best[rounded[best] > 0]
-        return best, rounded[best]
+        # only what can be among the k is put in order
+        floor = max(np.partition(scores, self.n - k)[self.n - k] - 2e-9, 0.0) if self.n > k else 0.0
+        best = np.flatnonzero(scores >= floor) if floor else np.flatnonzero(scores)
+        rounded = np.round(scores[best], 9)
+        order = np.lexsort((best, -rounded))[:k]
+        order = order[rounded[order] > 0]
+        return best[order], rounded[order]
 
 
 @dataclass
@@ -198,7 +203,9 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     terms: list[str] = []
     if n0 and n1:
         ratio = part(F.col("a"), rows * F.lit(n0 / total)) + part(F.col("b"), rows * F.lit(n1 / total)) + part(F.lit(n0) - F.col("a"), (F.lit(total) - rows) * F.lit(n0 / total)) + part(F.lit(n1) - F.col("b"), (F.lit(total) - rows) * F.lit(n1 / total))
-        best = by_term.where(rows >= settings.min_examples).withColumn("ratio", ratio).where(F.col("ratio") >= settings.min_ratio)
+        share0, share1 = F.col("a") / F.lit(n0), F.col("b") / F.lit(n1)
+        lifted = (share1 >= share0 * F.lit(settings.min_lift)) | (share0 >= share1 * F.lit(settings.min_lift))
+        best = by_term.where((rows >= settings.min_examples) & lifted).withColumn("ratio", ratio).where(F.col("ratio") >= settings.min_ratio)
         terms = sorted(r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(settings.max_terms).select("term").collect())
 
     counting = spark.sparkContext.broadcast(Vectors(terms, np.ones(len(terms))))
