@@ -189,6 +189,20 @@ def texts_of(column: pa.Array) -> Iterator[str]:
         yield (x.as_py() or b"").decode("utf-8", "replace")
 
 
+def encoded(bpe: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    """The ids of each text, null as empty."""
+    found = [bpe.encode(t) for t in texts_of(texts)]
+    ends = np.cumsum([0, *map(len, found)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+def decoded(known: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    """The text of each list of ids, null as empty."""
+    flat = ids.values.fill_null(-1).to_numpy()
+    ends = ids.offsets.to_numpy().tolist()
+    return pa.array([known.decode(flat[i:j].tolist()) if ok else "" for i, j, ok in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)], pa.string())
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """docs with the token ids of column `text` in an array<int> column `ids`.
 
@@ -201,12 +215,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
         for batch in slices(batches):
-            found = [bpe.encode(t) for t in texts_of(batch.column(at))]
-            ends = np.cumsum([0, *map(len, found)]) // 4
-            flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*rest, ids])
+            yield pa.record_batch([*batch.columns, encoded(tokenizer(path), batch.column(at))], [*rest, ids])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -219,20 +229,26 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | No
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
         for batch in slices(batches):
-            column = batch.column(at)
-            flat = column.values.fill_null(-1).to_numpy()
-            ends = column.offsets.to_numpy().tolist()
-            out = [bpe.decode(flat[i:j].tolist()) if ok else "" for i, j, ok in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*rest, text])
+            yield pa.record_batch([*batch.columns, decoded(vocabulary(path), batch.column(at))], [*rest, text])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(text, T.StringType())]))
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them, for docs(doc_id, text)."""
-    both = decode(encode(docs.select("doc_id", "text")).drop("text"), text="decoded")
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, for docs(doc_id, text).
+
+    One pass, so that a core runs one Python worker and the ids are not sent back to be decoded.
+    """
+    path = path or public_tokenizers.path(DEFAULT)
+    source = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = encoded(tokenizer(path), batch.column(1))
+            yield pa.record_batch([batch.column(0), ids, decoded(tokenizer(path), ids)], ["doc_id", "ids", "decoded"])
+
+    both = source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
