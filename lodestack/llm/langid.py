@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents of a language to learn from, about; chosen by a hash of the text.
+    #: Distinct texts of a language to learn from, about; chosen by a hash of the text.
     sample_per_language: int = 4000
     #: Labelled languages at most, which bounds the model at 256 KB for each; more are an error.
     max_languages: int = 256
@@ -74,17 +74,29 @@ class Model:
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """The model of the labelled rows of docs(text, lang).
 
-    Rows with null text or lang teach nothing. Of a language with more than sample_per_language documents, those with
-    the smallest hash of the text are taken, about that many; copies of a text are taken together or not at all.
+    Rows with null text or lang teach nothing, and copies of a text teach once for each language. Of a language with more
+    than sample_per_language distinct texts, those with the smallest hash are taken, about that many; of others all are.
     """
-    docs = docs.where("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.max_languages + 1).collect()}
+    docs = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("hash"))
+    counts = {r["lang"]: r["n"] for r in docs.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(settings.max_languages + 1).collect()}
     if len(counts) > settings.max_languages:
         raise ValueError(f"more than {settings.max_languages} languages")
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, settings.sample_per_language / n))).otherwise(share)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    drawn = docs.where(F.pmod("hash", F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task's first of each drawn text, so that the shuffle is bounded however many copies there are
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    sample = drawn.mapInArrow(once, drawn.schema).dropDuplicates(["lang", "hash"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

@@ -52,3 +52,16 @@ def test_long_texts_are_counted_whole():
     model = langid.Model(["x", "y"], (table / table.sum(0)).astype(np.float32))
     lang, score, *_ = langid.infer("a" * 60_000 + "b" * 140_000, model)
     assert lang == "y" and abs(score - 0.7) < 0.05
+
+
+def test_copies_neither_fill_nor_empty_the_sample(spark):
+    settings = langid.Settings(sample_per_language=40)
+    many = [(f"kopie {k} mit wort{k}", "de") for k in range(30)] + [("ganz andere zeile", "de")] * 3000
+    few = [("una linea muy comun", "es")] * 3000
+    with_copies = langid.learn(spark.createDataFrame(many + few, "text string, lang string"), settings)
+    distinct = langid.learn(spark.createDataFrame(sorted(set(many + few)), "text string, lang string"), settings)
+    assert with_copies.names == distinct.names == ["de", "es"]
+    assert np.array_equal(with_copies.table, distinct.table)
+    # no column is uniform like the background
+    assert all(np.ptp(with_copies.table[:, k]) > 0 for k in range(2))
+    assert langid.infer("una linea muy comun", with_copies)[0] == "es"
