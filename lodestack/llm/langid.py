@@ -38,13 +38,11 @@ class Settings:
 
 
 def _letters() -> np.ndarray:
-    """For each code below 65536: its lower-case letter, or a space if it is no letter."""
-    out = np.full(1 << 16, 32, np.uint32)
-    for code in range(1 << 16):
-        c = chr(code)
-        if c.isalpha():
-            low = c.lower()
-            out[code] = ord(low) if len(low) == 1 else code
+    """For each code point: its lower-case letter, or a space if it is no letter."""
+    out = np.full(0x110000, 32, np.uint32)
+    for code in np.flatnonzero(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)).tolist():
+        low = chr(code).lower()
+        out[code] = ord(low) if len(low) == 1 else code
     return out
 
 
@@ -56,7 +54,7 @@ def trigrams(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     if not len(codes):
         return np.zeros(0, np.uint32)
-    codes = LETTERS[np.minimum(codes, 0xFFFF)]
+    codes = LETTERS[codes]
     padded = np.concatenate([[32], codes, [32]]).astype(np.uint32)
     here = np.flatnonzero(codes != 32) + 1
     mixed = padded[here - 1] * np.uint32(0x9E3779B1) + padded[here] * np.uint32(0x85EBCA77) + padded[here + 1] * np.uint32(0xC2B2AE3D)
@@ -182,20 +180,25 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings()) ->
 
 
 def accepted(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs without those that are no language: `und`, or more background than max_background. Columns as they were.
+    """docs without those that are no language: without a letter, or more background than max_background. Columns as they were.
 
-    Learns from the labelled rows of docs outside the held-out fold. Rows share the verdict of their text, so a repeated
-    or missing doc_id does no harm.
+    Learns from the labelled rows of docs outside the held-out fold; if they name no language, every text with a letter
+    stays. Rows share the verdict of their text, so a repeated or missing doc_id does no harm.
     """
     model = learn(docs.where(crc32_mod5(F.col("doc_id")) != 0), settings)
     spread = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     at = columns.index("text")
 
+    def stays(text: str) -> bool:
+        if not spread.value.names:
+            return len(trigrams(text)) > 0
+        _, _, langs, _, background = infer(text, spread.value, settings)
+        return bool(langs) and background <= settings.max_background
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [infer(t, spread.value, settings) for t in texts_of(batch.column(at))]
-            yield batch.filter(pa.array([lang != UNDETERMINED and background <= settings.max_background for lang, _, _, _, background in found], pa.bool_()))
+            yield batch.filter(pa.array([stays(t) for t in texts_of(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -65,3 +65,16 @@ def test_copies_neither_fill_nor_empty_the_sample(spark):
     # no column is uniform like the background
     assert all(np.ptp(with_copies.table[:, k]) > 0 for k in range(2))
     assert langid.infer("una linea muy comun", with_copies)[0] == "es"
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    gothic, adlam = "\U00010330\U00010331\U00010332 " * 20, "\U0001e922\U0001e923\U0001e924 " * 20
+    assert len(langid.trigrams(gothic)) == 60
+    assert np.array_equal(langid.trigrams("\U0001e900"), langid.trigrams("\U0001e922"))  # upper and lower case
+    docs = spark.createDataFrame([(1, gothic, "got"), (2, adlam, "ff"), (3, "12 !", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.learn(docs)).collect()} == {1: "got", 2: "ff", 3: "und"}
+
+
+def test_without_a_learned_language_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, "12 !", None), (3, None, None), (4, "\U00010330", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.accepted(docs).collect()} == {1, 4}
