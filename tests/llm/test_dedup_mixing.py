@@ -44,6 +44,15 @@ def test_documents_keep_their_columns(spark):
     assert {r.doc_id for r in exact_dedup.keep_distinct_texts(docs).collect()} == {9, 2, 3, None, 7, 4}
 
 
+def test_repeated_and_missing_ids_keep_one_row(spark):
+    rows = [(1, "a")] * 3 + [(2, "a")] * 2 + [(None, "b")] * 4 + [(0, "c"), (0, "c"), (0, "d"), (None, "c"), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = exact_dedup.keep_distinct_texts(docs)
+    assert kept.columns == docs.columns
+    found = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert found == [("0", "c"), ("0", "d"), ("2", "a"), ("7", ""), ("None", "b")]
+
+
 def plain_fingerprint(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     if not words:
