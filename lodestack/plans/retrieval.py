@@ -63,9 +63,9 @@ def term_statistics(spark, sf_dir):
 
 
 def bm25_chunks(spark, sf_dir):
-    pages = chunks(table(spark, sf_dir, "documents")).select(F.lit("all").alias("scope"), (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("doc_id"), "text")
+    pages = chunks(table(spark, sf_dir, "documents")).select(F.lit("all").alias("scope"), F.struct("doc_id", "chunk_index").alias("doc_id"), "text")
     found = bm25.top(bm25.scores(pages, questions(spark, sf_dir)), 5)
-    return found.select("query_id", F.floor(F.col("doc_id") / 1000).alias("doc_id"), (F.col("doc_id") % 1000).alias("chunk_index"), F.col("rank").cast("int").alias("rank"), F.round("bm25_score", 6).alias("bm25_score"))
+    return found.select("query_id", "doc_id.doc_id", "doc_id.chunk_index", F.col("rank").cast("int").alias("rank"), F.round("bm25_score", 6).alias("bm25_score"))
 
 
 def knn_topk(spark, sf_dir):

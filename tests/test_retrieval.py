@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as X
 from lodestack.functions import vectors as V
 from lodestack.operators import bm25, evidence, hybrid, knn
+from lodestack.plans import retrieval
 
 
 def tokens(spark, text):
@@ -78,6 +79,15 @@ def test_nearest_equals_brute_force(spark, block):
     assert got == want
 
 
+def test_chunks_of_a_very_long_document_keep_their_key(spark, tmp_path):
+    docs = [(1, "x" * 1_000_000 + "needle"), (2, "needle")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = retrieval.bm25_chunks(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.chunk_index, r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1000, 1), (2, 0, 2)]
+    assert found[0].bm25_score == found[1].bm25_score
+
+
 def test_vector_expressions(spark):
     rows = [([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 3.0]), ([1.0, 0.0], [0.0, 0.0])]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
