@@ -17,33 +17,36 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 
 
-def _packed(rows: DataFrame, id_col: str, vector: str, block_rows: int) -> DataFrame:
-    """(dims, ids, vectors): up to block_rows rows of a partition as binary; rows without a vector are left out."""
+def _packed(rows: DataFrame, id_col: str, vector: str, block_rows: int, scope: str | None = None) -> DataFrame:
+    """(scope, dims, ids, vectors): up to block_rows rows of a partition and scope as binary; rows without a vector, or with a null scope, are left out."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[pd.DataFrame]] = {}
+        held: dict[tuple[str, int], list[pd.DataFrame]] = {}
 
-        def block(dims: int) -> pd.DataFrame:
-            part = pd.concat(held.pop(dims))
-            return pd.DataFrame([{"dims": dims, "ids": part["id"].to_numpy(np.int64).tobytes(), "vectors": np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()}])
+        def block(key: tuple[str, int]) -> pd.DataFrame:
+            part = pd.concat(held.pop(key))
+            return pd.DataFrame([{"scope": key[0], "dims": key[1], "ids": part["id"].to_numpy(np.int64).tobytes(), "vectors": np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()}])
 
         for pdf in batches:
-            for dims, part in pdf.groupby(pdf["v"].map(len)):
-                held.setdefault(dims, []).append(part)
-                if sum(map(len, held[dims])) >= block_rows:
-                    yield block(dims)
-        for dims in list(held):
-            yield block(dims)
+            for key, part in pdf.groupby([pdf["scope"], pdf["v"].map(len)]):
+                held.setdefault(key, []).append(part)
+                if sum(map(len, held[key])) >= block_rows:
+                    yield block(key)
+        for key in list(held):
+            yield block(key)
 
     usable = rows.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
-    return usable.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(pack, "dims int, ids binary, vectors binary")
+    within = F.lit("") if scope is None else F.col(scope).cast("string")
+    rows = usable.select(within.alias("scope"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("scope is not null")
+    return rows.mapInPandas(pack, "scope string, dims int, ids binary, vectors binary")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, max_distance: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, max_distance: float | None = None, block_rows: int = BLOCK_ROWS, scope: str | None = None) -> DataFrame:
     """(query_id, doc_id, distance, rank) of queries(query_id, vector) and corpus(doc_id, vector).
 
     The distance is 1 - cosine in double, 1 for a zero vector. Equal distances, to 9 decimals, rank by doc_id. A query with
-    fewer than k candidates of its dimensions gets those; one without a vector gets none.
+    fewer than k candidates of its dimensions gets those; one without a vector gets none. With scope, a column of both sides,
+    a query meets the rows of its own scope only, and gets the k nearest of those.
     """
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,10 +61,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, max_distance: float |
                 out = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "doc_id": ids[order].ravel(), "distance": found.ravel()})
                 yield out if max_distance is None else out[out["distance"] <= max_distance]
 
-    left = _packed(queries, "query_id", "vector", block_rows).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "dims": "q_dims"})
-    right = _packed(corpus, "doc_id", "vector", block_rows)
+    left = _packed(queries, "query_id", "vector", block_rows, scope).withColumnsRenamed({"scope": "q_scope", "ids": "q_ids", "vectors": "q_vectors", "dims": "q_dims"})
+    right = _packed(corpus, "doc_id", "vector", block_rows, scope)
     # block rows against block rows: a stated query set against all rows
-    pairs = left.crossJoin(right).where("q_dims = dims")
+    pairs = left.crossJoin(right).where("q_dims = dims and q_scope = scope")
     candidates = pairs.mapInPandas(best, "query_id long, doc_id long, distance double")
     order = W.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -74,12 +74,18 @@ def knn_topk(spark, sf_dir):
 
 
 def knn_scoped(spark, sf_dir):
-    """Of the same label only; the scope is part of the join of blocks' rows, so each label is searched by itself."""
+    """Of the 50 nearest over all labels, those of the query's label, as the SQL has it; knn_in_scope searches a label by itself."""
     queries, rows = vectors(spark, sf_dir)
     found = knn.nearest(queries, rows, 50).join(rows.select("doc_id", "label"), "doc_id").join(queries.select("query_id", F.col("label").alias("q_label")), "query_id").where("label = q_label")
     return found.groupBy("query_id").agg(F.count("*").alias("n_same_label"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.max("distance"), 6).alias("farthest"))
 
 
+def knn_in_scope(spark, sf_dir):
+    """The nearest of the query's own label: each label is searched by itself."""
+    queries, rows = vectors(spark, sf_dir)
+    return knn.nearest(queries, rows, K, scope="label").select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
 def vector_checks(spark, sf_dir):
     _, rows = vectors(spark, sf_dir)
     v = F.col("vector")
@@ -247,6 +253,7 @@ QUERIES = {
     "b3_bm25_chunks": bm25_chunks,
     "knn_topk": knn_topk,
     "v3_knn_scoped": knn_scoped,
+    "v3_knn_in_scope": knn_in_scope,
     "v9_vector_checks": vector_checks,
     "rrf_fusion": rrf_fusion,
     "r4_rerank": rerank_topk,

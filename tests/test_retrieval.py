@@ -79,6 +79,21 @@ def test_nearest_equals_brute_force(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_nearest_in_scope_equals_brute_force(spark, block):
+    rng = np.random.default_rng(1)
+    # the 60 nearest of query 0 have another label
+    c = [(i, "near", [1.0, 0.01 * rng.random()]) for i in range(60)] + [(60 + i, "far", rng.normal(size=2).tolist()) for i in range(9)] + [(70, None, [1.0, 0.0])]
+    cd = spark.createDataFrame(c, "doc_id long, label string, vector array<double>")
+    qd = spark.createDataFrame([(0, "far", [1.0, 0.0]), (1, "near", [1.0, 0.0]), (2, "none", [1.0, 0.0])], "query_id long, label string, vector array<double>")
+    got = {}
+    for r in knn.nearest(qd, cd, 5, block_rows=block, scope="label").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    distance = lambda v: round(1 - v[0] / np.linalg.norm(v), 9)
+    want = {q: [i for _, i in sorted((distance(v), i) for i, s, v in c if s == label)[:5]] for q, label in ((0, "far"), (1, "near"))}
+    assert got == want
+
+
 def test_chunks_of_a_very_long_document_keep_their_key(spark, tmp_path):
     docs = [(1, "x" * 1_000_000 + "needle"), (2, "needle")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
