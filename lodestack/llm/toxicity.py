@@ -1,10 +1,11 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and word beginnings that tell the labels apart. A document's weight outside them is one more term, so that
-a few telling words weigh less in a long text. Examples stand in blocks; each term knows its largest weight in each block, which bounds
-what a block can score, and blocks that can't reach the k nearest are skipped without changing the result. Neighbours vote by
-closeness, and a logistic curve fitted on the examples themselves, each without its own vote, turns votes into probabilities.
-Label statistics come from a bounded sample, document frequencies from all documents.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+
+Terms are all words, and word beginnings, that an example has; a term's weight is its count times a power of its inverse document
+frequency, and no label has a part in it. A word that no example has meets nothing: it counts in a vector's length alone, as a word of no
+document; beginnings that no example has don't count. Examples stand in blocks. The longest posting lists are kept by block, with the largest weight in each block: it bounds
+what they add to a block, and blocks that can't reach the k nearest are skipped without changing the result. Neighbours
+vote by closeness, and a logistic curve fitted on the examples themselves, each without its own vote, turns votes into probabilities.
+Examples are a bounded sample of labelled rows; document frequencies come from all documents.
 """
 
 from __future__ import annotations
@@ -13,33 +14,33 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import Memo, texts_of
-from lodestack.llm.common import crc32_mod5, documents
+from lodestack.llm.common import crc32_mod5, documents, keep
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6)
+MEMO_ENTRIES = 200_000
+#: Texts that are searched for at once.
+TEXTS = 32
 
 
 @dataclass(frozen=True)
 class Settings:
     #: Labelled documents of each class to learn from, about; chosen by a hash of the id.
     examples_per_class: int = 3000
-    max_terms: int = 2000
-    #: A term must tell the classes apart by this log-likelihood ratio at least.
-    min_ratio: float = 12.0
-    #: And be so many times as frequent in one class as in the other; what only comes with a language or a length isn't.
-    min_lift: float = 2.5
-    min_examples: int = 3
-    neighbours: int = 25
+    idf_power: float = 2.0
+    neighbours: int = 100
     block: int = 64
-    #: A vote weighs closeness to this power.
-    sharpness: float = 4.0
+    #: What a document without neighbours would have as the sum of votes, dealt by the classes' shares.
+    prior: float = 0.05
 
 
 def terms_of(word: str) -> list[str]:
@@ -48,87 +49,138 @@ def terms_of(word: str) -> list[str]:
 
 
 class Vectors:
-    """Unit TF-IDF vectors over chosen terms; the last coordinate is for all other words."""
+    """Unit TF-IDF vectors over the terms of all examples, given in order; idf[k] weighs term k and idf[-1] the words that no example has."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.at = {t: k for k, t in enumerate(terms)}
-        self.idf = idf
-        self.rest = len(terms)
-        self.memo = Memo(lambda word: tuple(self.at[t] for t in terms_of(word) if t in self.at))
+    def __init__(self, terms: pa.Array, idf: np.ndarray):
+        self.terms, self.idf = terms, idf
 
     def __getstate__(self):
-        return list(self.at), self.idf
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def present(self, text: str) -> set[int]:
+        return {"terms": self.terms, "idf": self.idf}
+
+    def __getattr__(self, name: str):
+        # the table is made where it is first used: in the tasks
+        if name != "memo":
+            raise AttributeError(name)
+        at = {t: k for k, t in enumerate(self.terms.to_pylist())}
+        unknown = len(at)
+        self.memo = Memo(lambda word: (at.get(word, unknown), *(at[t] for t in terms_of(word)[1:] if t in at)), MEMO_ENTRIES)
+        return self.memo
+
+    def present(self, text: str) -> list[int]:
+        """The known terms of a text, in no order."""
         memo = self.memo
-        return {k for w in set(WORD.findall(text.lower())) for k in memo[w]}
+        found = set().union(*[memo[w] for w in set(WORD.findall(text.lower()))])
+        found.discard(len(self.terms))
+        return list(found)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Coordinates, rising, and weights. A text without words has the last coordinate alone."""
-        counts, memo, rest = Counter(WORD.findall(text.lower())), self.memo, 0
-        found: dict[int, int] = {}
-        for w, c in counts.items():
-            if hit := memo[w]:
-                for k in hit:
-                    found[k] = found.get(k, 0) + c
-            else:
-                rest += c
-        idx = np.array(sorted(found), np.int64)
-        weights = (1 + np.log(np.array([found[k] for k in idx.tolist()], np.float64))) * self.idf[idx]
-        if rest or not len(idx):
-            idx, weights = np.append(idx, self.rest), np.append(weights, 1 + np.log(max(rest, 1)))
-        return idx, weights / np.sqrt(weights @ weights)
+        """Known terms, rising, and their weights in the unit vector of all terms. A text without words has none."""
+        counts, memo = Counter(WORD.findall(text.lower())), self.memo
+        found = [memo[w] for w in counts]
+        ids = np.fromiter(chain.from_iterable(found), np.int64)
+        if not len(ids):
+            return ids, np.zeros(0)
+        times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)))
+        order = np.argsort(ids, kind="stable")
+        ids, times = ids[order], times[order]
+        known = int(np.searchsorted(ids, len(self.terms)))
+        lost = times[known:] * self.idf[-1]
+        first = np.flatnonzero(np.diff(ids[:known], prepend=-1))
+        ids = ids[first]
+        weights = np.add.reduceat(times[:known], first) * self.idf[ids] if len(first) else np.zeros(0)
+        return ids, weights / max(float(np.sqrt(weights @ weights + lost @ lost)), 1e-300)
 
 
 class BlockMaxIndex:
-    """Postings by term and block of examples, with the largest weight of each term in each block."""
+    """Postings by term over examples that stand in blocks of `block`.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int):
+    A term that more than one in `spread` examples has, and is among the `heavy` longest, is kept by block, with its largest weight in each.
+    The other lists are so short that a block has a posting or two: to add them up costs what a bound would, and is exact.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int, heavy: int = 512, spread: int = 32):
         self.n, self.block = len(vectors), block
         self.blocks = max(1, -(-self.n // block))
-        example = np.repeat(np.arange(self.n), [len(i) for i, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        term = np.concatenate([i for i, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        key = term[order] * self.blocks + self.example // block
-        self.offset = np.searchsorted(key, np.arange(n_terms * self.blocks + 1))
-        self.bound = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.bound, key, self.weight)
-        self.bound = self.bound.reshape(n_terms, self.blocks)
-
-    def _scores(self, idx: np.ndarray, weights: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
-        cells = (idx[:, None] * self.blocks + blocks[None, :]).ravel()
-        start = self.offset[cells]
-        n = self.offset[cells + 1] - start
-        total = int(n.sum())
-        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(total)
-        out += np.bincount(self.example[at], np.repeat(np.repeat(weights, len(blocks)), n) * self.weight[at], minlength=self.n)
+        sizes = np.array([len(i) for i, _ in vectors], np.int64)
+        term = np.concatenate([i for i, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+        order = np.argsort(term, kind="stable")
+        self.example = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
+        self.weight = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
+        self.offset = np.searchsorted(term[order], np.arange(n_terms + 1)).astype(np.int64)
+        length = np.diff(self.offset)
+        longest = np.argsort(-length, kind="stable")[:heavy]
+        self.heavy = np.sort(longest[length[longest] * spread > self.n])
+        self._tables()
+
+    def _tables(self) -> None:
+        self.row = np.full(len(self.offset) - 1, -1, np.int64)
+        self.row[self.heavy] = np.arange(len(self.heavy))
+        by_row = np.zeros((len(self.heavy), self.blocks * self.block))
+        for r, t in enumerate(self.heavy.tolist()):
+            s, e = self.offset[t], self.offset[t + 1]
+            by_row[r, self.example[s:e]] = self.weight[s:e]
+        self.by_block = np.ascontiguousarray(by_row.reshape(len(self.heavy), self.blocks, self.block).transpose(1, 0, 2))
+        self.bound = self.by_block.max(2, initial=0.0).T.copy()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "by_block", "bound")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._tables()
+
+    def _scores(self, queries: np.ndarray, weights: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
+        """Add what the heavy terms of these queries give to the examples of these blocks; row q of weights and out is a query's."""
+        for b in blocks.tolist():
+            out[queries, b] += weights[queries] @ self.by_block[b]
+
+    def _light(self, idx: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        start = self.offset[idx]
+        n = self.offset[idx + 1] - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out = np.bincount(self.example[at], np.repeat(weights, n) * self.weight[at], minlength=self.blocks * self.block)
+        return out.reshape(self.blocks, self.block)
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of some queries at once: blocks are read once for all that need them."""
+        scores = np.empty((len(queries), self.blocks, self.block))
+        heavy = np.zeros((len(queries), len(self.heavy)))
+        for q, (idx, weights) in enumerate(queries):
+            rows = self.row[idx]
+            long = rows >= 0
+            heavy[q, rows[long]] = weights[long]
+            scores[q] = self._light(idx[~long], weights[~long])
+        bound = scores.max(2) + heavy @ self.bound
+        step = max(1, -(-2 * k // self.block))
+        wanted = np.zeros(bound.shape, bool)
+        np.put_along_axis(wanted, np.argsort(-bound, axis=1, kind="stable")[:, :step], True, axis=1)
+        wanted &= bound > 0
+        met = np.zeros_like(wanted)
+        least = np.zeros(len(queries))
+        while wanted.any():
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                self._scores(np.flatnonzero(wanted[:, b]), heavy, np.array([b]), scores)
+            met |= wanted
+            for q in range(len(queries)):
+                own = scores[q, met[q]].ravel()
+                least[q] = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else 0.0
+            # rounding aside, no example of a block scores more than its bound
+            wanted = (bound > 0) & (bound >= least[:, None] - 1e-9) & ~met
+        out = []
+        for q in range(len(queries)):
+            # only what can be among the k is put in order
+            blocks = np.flatnonzero(met[q])
+            own = scores[q, blocks]
+            at, place = np.nonzero(own >= max(least[q] - 2e-9, 1e-300))
+            best, rounded = blocks[at] * self.block + place, np.round(own[at, place], 9)
+            order = np.lexsort((best, -rounded))[:k]
+            order = order[rounded[order] > 0]
+            out.append((best[order], rounded[order]))
+        return out
 
     def nearest(self, idx: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine, if over 0, and their cosines; equal ones by number. Exact."""
-        bound = weights @ self.bound[idx]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, done, step = np.zeros(self.n), 0, max(1, -(-2 * k // self.block))
-        while done < len(order):
-            self._scores(idx, weights, order[done : done + step], scores)
-            done += step
-            if self.n > k:
-                least = np.partition(scores, self.n - k)[self.n - k]
-                # rounding aside, no example of a block scores more than its bound
-                order = order[: max(done, int((bound[order] >= least - 1e-9).sum()))]
-            step = len(order)
-        # only what can be among the k is put in order
-        floor = max(np.partition(scores, self.n - k)[self.n - k] - 2e-9, 0.0) if self.n > k else 0.0
-        best = np.flatnonzero(scores >= floor) if floor else np.flatnonzero(scores)
-        rounded = np.round(scores[best], 9)
-        order = np.lexsort((best, -rounded))[:k]
-        order = order[rounded[order] > 0]
-        return best[order], rounded[order]
+        return self.nearest_each([(idx, weights)], k)[0]
 
 
 @dataclass
@@ -138,23 +190,30 @@ class Model:
     labels: np.ndarray
     ids: np.ndarray
     class_weight: np.ndarray
+    shares: np.ndarray
     slope: float
     offset: float
     settings: Settings
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """The log of the weighted vote for label 1 over that for label 0, each with a little prior."""
-        w = np.maximum(cosine, 0) ** self.settings.sharpness * self.class_weight[self.labels[best]]
-        one, all_ = float(w @ self.labels[best]), float(w.sum())
-        prior = 0.02 * self.class_weight.mean()
-        return float(np.log(one + prior) - np.log(all_ - one + prior))
+        w, label = cosine * self.class_weight[self.labels[best]], self.labels[best]
+        one, all_ = float(w @ label), float(w.sum())
+        prior = self.settings.prior * self.shares
+        return float(np.log(one + prior[1]) - np.log(all_ - one + prior[0]))
 
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        return self.score_vector(*self.vectors.vector(text))
+    def vote_without(self, text: str, doc_id: int) -> float:
+        """The vote on an example's text of all examples but those of its id."""
+        own = int((self.ids == doc_id).sum())
+        best, cosine = self.index.nearest(*self.vectors.vector(text), self.settings.neighbours + own)
+        others = self.ids[best] != doc_id
+        return self.vote(best[others][: self.settings.neighbours], cosine[others][: self.settings.neighbours])
 
-    def score_vector(self, idx: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        best, cosine = self.index.nearest(idx, weights, self.settings.neighbours)
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(best, cosine) + self.offset, -30, 30)))), best, cosine
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The score of each text, its nearest examples and their cosines."""
+        for k in range(0, len(texts), TEXTS):
+            for best, cosine in self.index.nearest_each([self.vectors.vector(t) for t in texts[k : k + TEXTS]], self.settings.neighbours):
+                yield float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(best, cosine) + self.offset, -30, 30)))), best, cosine
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -170,6 +229,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0]), float(beta[1])
 
 
+def idf_of(frequency: np.ndarray, documents: int, power: float) -> np.ndarray:
+    """The weight of terms by the number of documents that have them; the last is for terms of no document."""
+    return np.log((1 + documents) / (1 + np.append(frequency, 0))) ** power
+
+
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """The model of docs(doc_id, text) and labels(doc_id, toxic), all of which may be learned from.
 
@@ -182,72 +246,66 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0])) * F.lit(float(1 << 30))
     # examples_per_class of each class, give or take the hash; the limit proves the bound
     chosen = labels.where("toxic in (0, 1)").where(drawn).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(4 * settings.examples_per_class)
-    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    sample = keep(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), "toxicity-examples")
 
-    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter(), Counter()]
+    def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
         for batch in batches:
-            for toxic, text in zip(batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
-                counts[toxic].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
-        for c in (0, 1):
-            yield pa.record_batch([pa.array(list(counts[c]), pa.string()), pa.array([c] * len(counts[c]), pa.int32()), pa.array(list(counts[c].values()), pa.int64())], ["term", "toxic", "n"])
-
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    by_term = sample.mapInArrow(count_terms, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("b"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("a"))
-    total, rows = n0 + n1, F.col("a") + F.col("b")
-
-    def part(seen, expected):
-        return F.when(seen > 0, F.lit(2.0) * seen * F.ln(seen / expected)).otherwise(F.lit(0.0))
-
-    terms: list[str] = []
-    if n0 and n1:
-        ratio = part(F.col("a"), rows * F.lit(n0 / total)) + part(F.col("b"), rows * F.lit(n1 / total)) + part(F.lit(n0) - F.col("a"), (F.lit(total) - rows) * F.lit(n0 / total)) + part(F.lit(n1) - F.col("b"), (F.lit(total) - rows) * F.lit(n1 / total))
-        share0, share1 = F.col("a") / F.lit(n0), F.col("b") / F.lit(n1)
-        lifted = (share1 >= share0 * F.lit(settings.min_lift)) | (share0 >= share1 * F.lit(settings.min_lift))
-        best = by_term.where((rows >= settings.min_examples) & lifted).withColumn("ratio", ratio).where(F.col("ratio") >= settings.min_ratio)
-        terms = sorted(r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(settings.max_terms).select("term").collect())
+            for text in texts_of(batch.column(0)):
+                words.update(WORD.findall(text.lower()))
+        yield pa.record_batch([pa.array(list({t for w in words for t in terms_of(w)}), pa.string())], ["term"])
 
-    counting = spark.sparkContext.broadcast(Vectors(terms, np.ones(len(terms))))
+    terms = sample.select("text").mapInArrow(distinct_terms, "term string").distinct().toArrow()["term"].combine_chunks()
+    terms = terms.take(pc.sort_indices(terms))
+    counting = spark.sparkContext.broadcast(Vectors(terms, np.ones(len(terms) + 1)))
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(terms) + 1, np.int64), 0
+        seen, n = np.zeros(len(counting.value.terms) + 1, np.int64), 0
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 n += 1
-                for k in counting.value.present(text):
-                    seen[k] += 1
+                seen[counting.value.present(text)] += 1
         seen[-1] = n
-        yield pa.record_batch([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(seen[at])], ["term", "n"])
 
-    frequency = np.zeros(len(terms) + 1)
-    for r in docs.select("text").mapInArrow(count_documents, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        frequency[r["term"]] = r["n"]
-    vectors = Vectors(terms, 1 + np.log((1 + frequency[-1]) / (1 + frequency[:-1])))
+    counted = docs.select("text").mapInArrow(count_documents, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(len(terms) + 1, np.int64)
+    frequency[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    vectors = Vectors(terms, idf_of(frequency[:-1], int(frequency[-1]), settings.idf_power))
     spread = spark.sparkContext.broadcast(vectors)
 
     def example_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [spread.value.vector(t) for t in texts_of(batch.column(2))]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i.tolist() for i, _ in found], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))], ["doc_id", "toxic", "idx", "weights"])
-
-    got = [(r["doc_id"], r["toxic"], np.array(r["idx"], np.int64), np.array(r["weights"])) for r in sample.mapInArrow(example_vectors, "doc_id long, toxic int, idx array<long>, weights array<double>").collect()]
-    # like examples side by side make tight bounds
-    got.sort(key=lambda e: (e[1], int(e[2][np.argmax(e[3])]), len(e[2]), e[0]))
-    labels_of, ids = np.array([e[1] for e in got], np.int64), np.array([e[0] for e in got], np.int64)
-    index = BlockMaxIndex([(e[2], e[3]) for e in got], len(terms) + 1, settings.block)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["doc_id", "toxic", "idx", "weights"])
+
+    got = sample.mapInArrow(example_vectors, "doc_id long, toxic int, idx binary, weights binary").toArrow()
+    found = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(w.as_buffer())) for i, w in zip(got["idx"], got["weights"], strict=True)]
+    ids, labels_of = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
+    # examples of one language side by side make tight bounds: by the commonest of a text's terms
+    leading = [int(i[np.argmax(frequency[i])]) if len(i) else -1 for i, _ in found]
+    order = np.lexsort((ids, [len(i) for i, _ in found], labels_of, leading)) if found else np.zeros(0, np.int64)
+    index = BlockMaxIndex([found[e] for e in order.tolist()], len(terms), settings.block)
+    ids, labels_of = ids[order], labels_of[order]
     weight = np.array([1 / s for s in share])
-    model = Model(vectors, index, labels_of, ids, weight / weight.max(), 1.0, 0.0, settings)
-    if n0 and n1:
-        x = np.empty(len(got))
-        for e, (_, _, idx, weights) in enumerate(got):
-            best, cosine = index.nearest(idx, weights, settings.neighbours + 1)
-            own = np.flatnonzero(best == e)
-            drop = own[0] if len(own) else len(best) - 1
-            x[e] = model.vote(np.delete(best, drop), np.delete(cosine, drop))
-        model.slope, model.offset = _logistic(x, labels_of.astype(np.float64), model.class_weight[labels_of])
+    weight /= weight.max()
+    shares = np.array([weight[c] * max(1, int((labels_of == c).sum())) for c in (0, 1)])
+    model = Model(vectors, index, labels_of, ids, weight, shares / shares.sum(), 1.0, 0.0, settings)
+    n1 = int(labels_of.sum())
+    if 0 < n1 < len(labels_of):
+        draft = spark.sparkContext.broadcast(model)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = [draft.value.vote_without(t, i) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), strict=True)]
+                yield pa.record_batch([batch.column(1), pa.array(x, pa.float64())], ["toxic", "x"])
+
+        cast = sample.repartition(max(1, len(labels_of) // 500)).mapInArrow(votes, "toxic int, x double").toArrow()
+        y = cast["toxic"].to_numpy().astype(np.int64)
+        model.slope, model.offset = _logistic(cast["x"].to_numpy(), y.astype(np.float64), model.class_weight[y])
     else:
-        model.slope, model.offset = 0.0, (20.0 if n1 else -20.0) if n0 or n1 else 0.0
+        model.slope, model.offset = 0.0, (20.0 if n1 else -20.0) if len(labels_of) else 0.0
     return model
 
 
@@ -257,22 +315,16 @@ OUT = "doc_id long, score double, evidence_ids array<long>, evidence_cosines arr
 def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """doc_id, score and the nearest examples with their cosines for each of docs(doc_id, text).
 
-    Null and empty texts are like texts without words: near to examples without telling terms. Rows are scored by their text
-    alone, so repeated rows agree. Without labels of both classes every score is the same: 0.5 without any.
+    Null and empty texts, and those without a term of any example, have no neighbours and get the score of an even draw from the
+    classes. Rows are scored by their text alone, so repeated rows agree. Without labels of both classes every score is the same: 0.5
+    without any. An empty table gives no rows; other columns aren't read.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, plain = spread.value, None
+        own = spread.value
         for batch in batches:
-            out = []
-            for text in texts_of(batch.column(1)):
-                idx, weights = own.vectors.vector(text)
-                if len(idx) == 1 and idx[0] == own.vectors.rest:
-                    plain = plain or own.score_vector(idx, weights)
-                    out.append(plain)
-                else:
-                    out.append(own.score_vector(idx, weights))
+            out = list(own.scores(list(texts_of(batch.column(1)))))
             yield pa.record_batch([batch.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array([own.ids[b[:evidence]].tolist() for _, b, _ in out], pa.list_(pa.int64())), pa.array([c[:evidence].tolist() for _, _, c in out], pa.list_(pa.float64()))], [x.split()[0] for x in OUT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)

@@ -78,3 +78,56 @@ def test_learns_a_word(spark):
     got = {r.doc_id: r for r in tx.score(spark.createDataFrame([(1000, "such trash"), (1001, "such calm")], "doc_id long, text string"), model).collect()}
     assert got[1000].score > 0.9 > 0.1 > got[1001].score
     assert all(i % 3 == 0 for i in got[1000].evidence_ids)
+
+
+def test_scores_and_evidence_of_a_dense_search(spark):
+    """Every document of sf0.001 against plain code: all terms of the examples, frequencies over all documents, whole dense cosines."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    chosen = labels.where(tx.crc32_mod5(F.col("doc_id")) != 0)
+    model = tx.learn(docs, chosen)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in chosen.collect() if r.doc_id in texts}
+    tokens = {d: Counter(tx.WORD.findall(t.lower())) for d, t in texts.items()}
+
+    def terms(words):
+        out = Counter()
+        for w, n in words.items():
+            for t in tx.terms_of(w):
+                out[t] += n
+        return out
+
+    known = {t for d in toxic for t in terms(tokens[d])}
+    df = Counter(t for d in texts for t in terms(tokens[d]) if t in known)
+    idf = lambda t: math.log((1 + len(texts)) / (1 + df[t])) ** 2
+
+    def unit(d):
+        out = {t: n * idf(t) for t, n in terms(tokens[d]).items() if t in known}
+        lost = sum((n * idf("no such term")) ** 2 for w, n in tokens[d].items() if w not in known)
+        length = math.sqrt(sum(x * x for x in out.values()) + lost)
+        return {t: x / length for t, x in out.items()} if length else {}
+
+    examples = {int(i): unit(int(i)) for i in model.ids}
+    assert sorted(examples) == sorted(toxic) and {int(i): int(y) for i, y in zip(model.ids, model.labels, strict=True)} == toxic
+    prior = [0.05 * sum(y == c for y in toxic.values()) / len(toxic) for c in (0, 1)]
+    for r in tx.score(docs, model, evidence=5).collect():
+        q = unit(r.doc_id)
+        near = sorted(((-round(sum(x * e.get(t, 0.0) for t, x in q.items()), 9), n, int(i)) for n, (i, e) in enumerate(zip(model.ids, [examples[int(i)] for i in model.ids], strict=True))))
+        near = [(-c, i) for c, _, i in near if c < 0][:100]
+        votes = [sum(c for c, i in near if toxic[i] == y) for y in (0, 1)]
+        x = math.log(votes[1] + prior[1]) - math.log(votes[0] + prior[0])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.slope * x + model.offset))), abs=1e-6)
+        assert np.allclose(r.evidence_cosines, [c for c, _ in near[:5]], atol=1e-8)
+        if len({c for c, _ in near[:6]}) == len(near[:6]):
+            assert r.evidence_ids == [i for _, i in near[:5]]
+
+
+def test_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "such trash" if i % 2 else "calm words", 0.5, 7) for i in range(40)], "doc_id long, text string, score double, toxic int")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(40)], "doc_id long, toxic int, text string")
+    assert {r.doc_id: r.score > 0.5 for r in tx.score(docs, tx.learn(docs, labels)).collect()} == {i: bool(i % 2) for i in range(40)}
