@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,22 +74,28 @@ class Vectors:
         found.discard(len(self.terms))
         return list(found)
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms, rising, and their weights in the unit vector of all terms. A text without words has none."""
+    def frequencies(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known terms, rising, how often each occurs, and how often each unknown word does."""
         counts, memo = Counter(WORD.findall(text.lower())), self.memo
         found = [memo[w] for w in counts]
         ids = np.fromiter(chain.from_iterable(found), np.int64)
-        if not len(ids):
-            return ids, np.zeros(0)
         times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)))
         order = np.argsort(ids, kind="stable")
         ids, times = ids[order], times[order]
         known = int(np.searchsorted(ids, len(self.terms)))
-        lost = times[known:] * self.idf[-1]
         first = np.flatnonzero(np.diff(ids[:known], prepend=-1))
-        ids = ids[first]
-        weights = np.add.reduceat(times[:known], first) * self.idf[ids] if len(first) else np.zeros(0)
-        return ids, weights / max(float(np.sqrt(weights @ weights + lost @ lost)), 1e-300)
+        return ids[first], np.add.reduceat(times[:known], first) if len(first) else np.zeros(0), times[known:]
+
+    def weighed(self, ids: np.ndarray, times: np.ndarray, lost: np.ndarray | None = None) -> np.ndarray:
+        """The weights of known terms in the unit vector of all."""
+        weights = times * self.idf[ids]
+        rest = np.zeros(0) if lost is None else lost * self.idf[-1]
+        return weights / max(float(np.sqrt(weights @ weights + rest @ rest)), 1e-300)
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms, rising, and their weights in the unit vector of all terms. A text without words has none."""
+        ids, times, lost = self.frequencies(text)
+        return ids, self.weighed(ids, times, lost)
 
 
 class BlockMaxIndex:
@@ -110,9 +117,6 @@ class BlockMaxIndex:
         length = np.diff(self.offset)
         longest = np.argsort(-length, kind="stable")[:heavy]
         self.heavy = np.sort(longest[length[longest] * spread > self.n])
-        self._tables()
-
-    def _tables(self) -> None:
         self.row = np.full(len(self.offset) - 1, -1, np.int64)
         self.row[self.heavy] = np.arange(len(self.heavy))
         by_row = np.zeros((len(self.heavy), self.blocks * self.block))
@@ -122,13 +126,6 @@ class BlockMaxIndex:
         self.by_block = np.ascontiguousarray(by_row.reshape(len(self.heavy), self.blocks, self.block).transpose(1, 0, 2))
         self.bound = self.by_block.max(2, initial=0.0).T.copy()
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "by_block", "bound")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._tables()
-
     def _scores(self, queries: np.ndarray, weights: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
         """Add what the heavy terms of these queries give to the examples of these blocks; row q of weights and out is a query's."""
         for b in blocks.tolist():
@@ -184,17 +181,33 @@ class BlockMaxIndex:
 
 
 @dataclass
-class Model:
+class Examples:
+    """Labelled examples: the terms of one after the other and how often each occurs, sizes[e] of them for example e.
+
+    It travels as these small numbers; the index over them is made where it is first used: in the tasks.
+    """
+
     vectors: Vectors
-    index: BlockMaxIndex
+    terms: np.ndarray
+    times: np.ndarray
+    sizes: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     class_weight: np.ndarray
     shares: np.ndarray
-    slope: float
-    offset: float
     settings: Settings
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def __getattr__(self, name: str):
+        if name != "index":
+            raise AttributeError(name)
+        ends = np.cumsum(self.sizes)
+        parts = [(self.terms[e - n : e], self.times[e - n : e].astype(np.float64)) for n, e in zip(self.sizes.tolist(), ends.tolist(), strict=True)]
+        self.index = BlockMaxIndex([(i, self.vectors.weighed(i, t)) for i, t in parts], len(self.vectors.terms), self.settings.block)
+        return self.index
+
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """The log of the weighted vote for label 1 over that for label 0, each with a little prior."""
         w, label = cosine * self.class_weight[self.labels[best]], self.labels[best]
@@ -209,11 +222,21 @@ class Model:
         others = self.ids[best] != doc_id
         return self.vote(best[others][: self.settings.neighbours], cosine[others][: self.settings.neighbours])
 
-    def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """The score of each text, its nearest examples and their cosines."""
+    def nearest_each(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(texts), TEXTS):
-            for best, cosine in self.index.nearest_each([self.vectors.vector(t) for t in texts[k : k + TEXTS]], self.settings.neighbours):
-                yield float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(best, cosine) + self.offset, -30, 30)))), best, cosine
+            yield from self.index.nearest_each([self.vectors.vector(t) for t in texts[k : k + TEXTS]], self.settings.neighbours)
+
+
+@dataclass
+class Model:
+    """Examples, broadcast once, and the curve from votes to probabilities."""
+
+    examples: Broadcast
+    slope: float
+    offset: float
+
+    def probability(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -272,41 +295,45 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     counted = docs.select("text").mapInArrow(count_documents, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(terms) + 1, np.int64)
     frequency[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    vectors = Vectors(terms, idf_of(frequency[:-1], int(frequency[-1]), settings.idf_power))
-    spread = spark.sparkContext.broadcast(vectors)
 
-    def example_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [spread.value.vector(t) for t in texts_of(batch.column(2))]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["doc_id", "toxic", "idx", "weights"])
+            found = [counting.value.frequencies(t)[:2] for t in texts_of(batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([t.astype(np.int32).tobytes() for _, t in found], pa.binary())], ["doc_id", "toxic", "terms", "times"])
 
-    got = sample.mapInArrow(example_vectors, "doc_id long, toxic int, idx binary, weights binary").toArrow()
-    found = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(w.as_buffer())) for i, w in zip(got["idx"], got["weights"], strict=True)]
+    got = sample.mapInArrow(example_terms, "doc_id long, toxic int, terms binary, times binary").toArrow()
+    counting.destroy()
+    found = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(t.as_buffer(), np.int32)) for i, t in zip(got["terms"], got["times"], strict=True)]
     ids, labels_of = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
     # examples of one language side by side make tight bounds: by the commonest of a text's terms
     leading = [int(i[np.argmax(frequency[i])]) if len(i) else -1 for i, _ in found]
     order = np.lexsort((ids, [len(i) for i, _ in found], labels_of, leading)) if found else np.zeros(0, np.int64)
-    index = BlockMaxIndex([found[e] for e in order.tolist()], len(terms), settings.block)
-    ids, labels_of = ids[order], labels_of[order]
+    ids, labels_of, found = ids[order], labels_of[order], [found[e] for e in order.tolist()]
+    times = np.concatenate([t for _, t in found]) if found else np.zeros(0, np.int32)
     weight = np.array([1 / s for s in share])
     weight /= weight.max()
     shares = np.array([weight[c] * max(1, int((labels_of == c).sum())) for c in (0, 1)])
-    model = Model(vectors, index, labels_of, ids, weight, shares / shares.sum(), 1.0, 0.0, settings)
+    examples = spark.sparkContext.broadcast(
+        Examples(
+            Vectors(terms, idf_of(frequency[:-1], int(frequency[-1]), settings.idf_power)),
+            np.concatenate([i for i, _ in found]) if found else np.zeros(0, np.int32),
+            times.astype(np.min_scalar_type(int(times.max(initial=0)))),
+            np.array([len(i) for i, _ in found], np.int64),
+            labels_of, ids, weight, shares / shares.sum(), settings,
+        )
+    )
     n1 = int(labels_of.sum())
-    if 0 < n1 < len(labels_of):
-        draft = spark.sparkContext.broadcast(model)
+    if not 0 < n1 < len(labels_of):
+        return Model(examples, 0.0, (20.0 if n1 else -20.0) if len(labels_of) else 0.0)
 
-        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = [draft.value.vote_without(t, i) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), strict=True)]
-                yield pa.record_batch([batch.column(1), pa.array(x, pa.float64())], ["toxic", "x"])
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [examples.value.vote_without(t, i) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), strict=True)]
+            yield pa.record_batch([batch.column(1), pa.array(x, pa.float64())], ["toxic", "x"])
 
-        cast = sample.repartition(max(1, len(labels_of) // 500)).mapInArrow(votes, "toxic int, x double").toArrow()
-        y = cast["toxic"].to_numpy().astype(np.int64)
-        model.slope, model.offset = _logistic(cast["x"].to_numpy(), y.astype(np.float64), model.class_weight[y])
-    else:
-        model.slope, model.offset = 0.0, (20.0 if n1 else -20.0) if len(labels_of) else 0.0
-    return model
+    cast = sample.repartition(max(1, len(labels_of) // 500)).mapInArrow(votes, "toxic int, x double").toArrow()
+    y = cast["toxic"].to_numpy().astype(np.int64)
+    return Model(examples, *_logistic(cast["x"].to_numpy(), y.astype(np.float64), weight[y]))
 
 
 OUT = "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>"
@@ -319,13 +346,13 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     classes. Rows are scored by their text alone, so repeated rows agree. Without labels of both classes every score is the same: 0.5
     without any. An empty table gives no rows; other columns aren't read.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = spread.value
+        own = model.examples.value
         for batch in batches:
-            out = list(own.scores(list(texts_of(batch.column(1)))))
-            yield pa.record_batch([batch.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array([own.ids[b[:evidence]].tolist() for _, b, _ in out], pa.list_(pa.int64())), pa.array([c[:evidence].tolist() for _, _, c in out], pa.list_(pa.float64()))], [x.split()[0] for x in OUT.split(", ")])
+            out = list(own.nearest_each(list(texts_of(batch.column(1)))))
+            scores = [model.probability(own.vote(best, cosine)) for best, cosine in out]
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array([own.ids[b[:evidence]].tolist() for b, _ in out], pa.list_(pa.int64())), pa.array([c[:evidence].tolist() for _, c in out], pa.list_(pa.float64()))], [x.split()[0] for x in OUT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
 

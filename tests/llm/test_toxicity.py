@@ -112,12 +112,13 @@ def test_scores_and_evidence_of_a_dense_search(spark):
         length = math.sqrt(sum(x * x for x in out.values()) + lost)
         return {t: x / length for t, x in out.items()} if length else {}
 
-    examples = {int(i): unit(int(i)) for i in model.ids}
-    assert sorted(examples) == sorted(toxic) and {int(i): int(y) for i, y in zip(model.ids, model.labels, strict=True)} == toxic
+    own = model.examples.value
+    examples = {int(i): unit(int(i)) for i in own.ids}
+    assert sorted(examples) == sorted(toxic) and {int(i): int(y) for i, y in zip(own.ids, own.labels, strict=True)} == toxic
     prior = [0.05 * sum(y == c for y in toxic.values()) / len(toxic) for c in (0, 1)]
     for r in tx.score(docs, model, evidence=5).collect():
         q = unit(r.doc_id)
-        near = sorted(((-round(sum(x * e.get(t, 0.0) for t, x in q.items()), 9), n, int(i)) for n, (i, e) in enumerate(zip(model.ids, [examples[int(i)] for i in model.ids], strict=True))))
+        near = sorted(((-round(sum(x * e.get(t, 0.0) for t, x in q.items()), 9), n, int(i)) for n, (i, e) in enumerate((i, examples[int(i)]) for i in own.ids)))
         near = [(-c, i) for c, _, i in near if c < 0][:100]
         votes = [sum(c for c, i in near if toxic[i] == y) for y in (0, 1)]
         x = math.log(votes[1] + prior[1]) - math.log(votes[0] + prior[0])
