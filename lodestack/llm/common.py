@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.storage import keep, shared_dir
 
-__all__ = ["connected_components", "crc32_mod5", "documents", "keep", "shared_dir"]
+__all__ = ["connected_components", "crc32_mod5", "documents", "keep", "shared_dir", "starts"]
+
+#: A running sum puts so many rows in one window at most.
+FAN_OUT = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,3 +55,20 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def starts(sums: DataFrame, keys: Sequence[str], value: str, n_buckets: int) -> DataFrame:
+    """(keys, bucket, start) for sums(keys, bucket, value), one row for each: what the buckets before it, of the same keys, hold.
+
+    Buckets are numbered from 0 to n_buckets - 1. FAN_OUT of them stand in a window; what stands before those comes from the
+    sums of the windows, level by level, so no window grows with the table. Null keys count as equal.
+    """
+    if n_buckets <= FAN_OUT:
+        return sums.select(*keys, "bucket", (F.sum(value).over(W.partitionBy(*keys).orderBy("bucket")) - F.col(value)).alias("start"))
+    above = F.floor(F.col("bucket") / FAN_OUT).cast("long")
+    level = sums.groupBy(*keys, above.alias("bucket")).agg(F.sum(value).alias(value))
+    higher = starts(level, keys, value, -(-n_buckets // FAN_OUT)).withColumnRenamed("start", "before").alias("h")
+    within = W.partitionBy(*keys, "above").orderBy("bucket")
+    low = sums.withColumn("above", above).withColumn("run", F.sum(value).over(within) - F.col(value)).alias("l")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys], F.col("l.above") == F.col("h.bucket"))
+    return low.join(higher, same).select(*[f"l.{k}" for k in keys], "l.bucket", (F.col("before") + F.col("run")).alias("start"))
