@@ -26,27 +26,32 @@ from lodestack.llm.common import documents
 
 ROW_TOKENS = 2048
 BLOCK_TOKENS = 4_000_000
-#: An id that the vocabulary leaves free.
-PAD = 50256
+#: The first id beyond the vocabulary, whose last is the end-of-text token.
+PAD = 50257
 DEFAULT = "byte_bpe_50k.tiktoken"
 LONG_RUN = 4000
 SPACE_RUN = re.compile(f"[{bpe.SPACE}]{{{LONG_RUN}}}")
 OUT = "row_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, doc_offsets array<long>"
+BINARY = OUT.replace(" ids array<int>", " ids binary").replace("position_ids array<int>", "position_ids binary")
+WIDTHS = {2: "<u2", 4: "<u4"}
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a rank file, loaded once for each Python worker."""
+def tokenizer(path: str, merges: str) -> tiktoken.Encoding:
+    """The vocabulary of a rank file, loaded once for each Python worker, with the special tokens of the same vocabulary's merges file."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=bpe.tokenizer(merges).special)
 
 
 def encoded(text: str, fast: tiktoken.Encoding, merges: str) -> np.ndarray:
-    """The ids of a text. The rank encoder can't take very long runs of white space; a text that has one goes to the merge encoder of the same vocabulary."""
+    """The ids of a text, special tokens in it among them: those of bpe.encode().
+
+    The rank encoder fails on very long runs of white space; a text that has one goes to the merge encoder, whose ids are the same.
+    """
     if len(text) > LONG_RUN and SPACE_RUN.search(text):
         return np.frombuffer(bpe.tokenizer(merges).encode(text), "<i4")
-    return np.array(fast.encode_ordinary(text), np.int32)
+    return np.array(fast.encode(text, allowed_special="all"), np.int32)
 
 
 class CapacityTree:
@@ -98,7 +103,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def _packed(pieces: list[tuple[int | None, int, np.ndarray]], capacity: int, pad: int, first: int) -> pa.RecordBatch:
+def _packed(pieces: list[tuple[int | None, int, np.ndarray]], capacity: int, pad: int, first: int, width: int | None) -> pa.RecordBatch:
     rows = best_fit_decreasing([len(ids) for _, _, ids in pieces], capacity)
     ids = np.full((len(rows), capacity), pad, np.int32)
     positions = np.zeros((len(rows), capacity), np.int32)
@@ -116,18 +121,26 @@ def _packed(pieces: list[tuple[int | None, int, np.ndarray]], capacity: int, pad
         ends.append(cuts)
         doc_ids.append([pieces[i][0] for i in members])
         offsets.append([pieces[i][1] for i in members])
-    whole = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * capacity)
+
+    def matrix(values: np.ndarray) -> pa.Array:
+        if width is None:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * capacity), pa.array(values.ravel()))
+        if values.size and (values.min() < 0 or values.max() >= 1 << 8 * width):
+            raise ValueError(f"ids or positions don't fit {width} bytes")
+        return pa.array([row.tobytes() for row in values.astype(WIDTHS[width])], pa.binary())
+
     columns = [
-        pa.array(np.arange(first, first + len(rows))), pa.array(used, pa.int32()), pa.ListArray.from_arrays(whole, pa.array(ids.ravel())), pa.array(ends, pa.list_(pa.int32())),
-        pa.ListArray.from_arrays(whole, pa.array(positions.ravel())), pa.array(doc_ids, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())),
+        pa.array(np.arange(first, first + len(rows))), pa.array(used, pa.int32()), matrix(ids), pa.array(ends, pa.list_(pa.int32())),
+        matrix(positions), pa.array(doc_ids, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())),
     ]
     return pa.record_batch(columns, [x.split()[0] for x in OUT.split(", ")])
 
 
-def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS, pad: int = PAD, path: str | None = None, merges: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS, pad: int = PAD, path: str | None = None, merges: str | None = None, width: int | None = None) -> DataFrame:
     """Packed rows of the tokens of docs(doc_id, text). path is a rank file, merges the same vocabulary with its merges.
 
-    ids has row_tokens ids, the last of them `pad` beyond n_tokens. cu_seqlens starts with 0 and ends with n_tokens; segment k is a
+    ids has row_tokens ids, the last of them `pad` beyond n_tokens. With a width, ids and position_ids are little-endian unsigned binary of so
+    many bytes each, for loaders that map files; ids that don't fit are an error. cu_seqlens starts with 0 and ends with n_tokens; segment k is a
     run of document doc_ids[k] from token doc_offsets[k] on; position_ids starts at 0 in each segment and is 0 in the padding.
     A document of more than row_tokens fills rows by itself and its last piece is packed. Null and empty texts
     have no tokens and are in no row. A null doc_id stands as null; rows that repeat a doc_id are packed each. row_id holds the
@@ -136,7 +149,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOC
     path, merges = path or public_tokenizers.path(DEFAULT), merges or public_tokenizers.path(bpe.DEFAULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pieces, held, next_id = tokenizer(path), [], 0, TaskContext.get().partitionId() << 33
+        own, pieces, held, next_id = tokenizer(path, merges), [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 ids = encoded(text, own, merges)
@@ -144,32 +157,15 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOC
                     pieces.append((doc_id, at, ids[at : at + row_tokens]))
                     held += len(pieces[-1][2])
                     if held >= block_tokens:
-                        out = _packed(pieces, row_tokens, pad, next_id)
+                        out = _packed(pieces, row_tokens, pad, next_id, width)
                         pieces, held, next_id = [], 0, next_id + out.num_rows
                         yield from (out.slice(k, 256) for k in range(0, out.num_rows, 256))
         if pieces:
-            out = _packed(pieces, row_tokens, pad, next_id)
+            out = _packed(pieces, row_tokens, pad, next_id, width)
             yield from (out.slice(k, 256) for k in range(0, out.num_rows, 256))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
-
-
-def binary_rows(packed: DataFrame, width: int = 2) -> DataFrame:
-    """pack()'s rows with ids and position_ids as little-endian unsigned binary of `width` bytes each, for loaders that map files; ids that don't fit are an error."""
-    kinds, names = {2: "<u2", 4: "<u4"}, ["row_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "doc_offsets"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = dict(zip(names, batch.columns, strict=True))
-            for name in ("ids", "position_ids"):
-                values, ends = columns[name].values.to_numpy(), columns[name].offsets.to_numpy()
-                if len(values) and (values.min() < 0 or values.max() >= 1 << 8 * width):
-                    raise ValueError(f"{name} don't fit {width} bytes")
-                columns[name] = pa.array([values[i:j].astype(kinds[width]).tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
-            yield pa.record_batch([columns[n] for n in names], names)
-
-    return packed.select(*names).mapInArrow(run, OUT.replace(" ids array<int>", " ids binary").replace("position_ids array<int>", "position_ids binary"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT if width is None else BINARY)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), width=2)

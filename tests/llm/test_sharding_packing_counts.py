@@ -26,6 +26,40 @@ def test_differencing_deals_every_item_and_stays_within_the_largest(sizes, k):
     assert sums.max() - sums.min() <= max(sizes, default=0)
 
 
+def plain_karmarkar_karp(sizes, k):
+    """Sums of the shards, by the definition: the two of largest spread are added in opposite order until one is left."""
+    parts = [sorted([s] + [0] * (k - 1), reverse=True) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return parts[0] if parts else [0] * k
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 1 << 40), max_size=40, unique=True), st.integers(2, 6))
+def test_differencing_equals_plain_karmarkar_karp(sizes, k):
+    parts = np.zeros((len(sizes), k), np.int64)
+    parts[:, 0] = sizes
+    shard = sharding.difference(parts)[:, 0]
+    sums = [sum(s for s, x in zip(sizes, shard, strict=True) if x == j) for j in range(k)]
+    assert sorted(sums, reverse=True) == plain_karmarkar_karp(sizes, k)
+
+
+def test_a_group_above_a_fair_share_is_alone(spark):
+    rng = np.random.default_rng(3)
+    sizes = [3_000_000, *(rng.integers(16, 4000, 3000)).tolist()]
+    groups = spark.createDataFrame([(f"{i:04d}", int(s)) for i, s in enumerate(sizes)], "digest string, bytes long")
+    for bucket_groups in (4000, 500):
+        got = {r.digest: r.shard for r in sharding.group_shards(groups, 8, bucket_groups=bucket_groups).collect()}
+        sums = np.zeros(8)
+        for i, s in enumerate(sizes):
+            sums[got[f"{i:04d}"]] += s
+        assert sums.max() == 3_000_000
+        rest = np.sort(sums)[:-1]
+        assert rest.max() - rest.min() < 0.01 * rest.mean()
+
+
 @pytest.mark.parametrize("max_items", [8000, 300])
 def test_group_shards_are_even_with_and_without_bundles(spark, max_items):
     rng = np.random.default_rng(1)
@@ -113,14 +147,18 @@ def test_packed_rows_hold_every_document(spark, block):
 def test_binary_rows_hold_the_same_ids(spark, tmp_path):
     docs = spark.createDataFrame(ODD, ODD_SCHEMA)
     packed = packing.pack(docs, row_tokens=64)
-    packing.binary_rows(packed).write.parquet(str(tmp_path / "b"))
+    packing.pack(docs, row_tokens=64, width=2).write.parquet(str(tmp_path / "b"))
     got = {r.row_id: (np.frombuffer(r.ids, "<u2").tolist(), np.frombuffer(r.position_ids, "<u2").tolist(), r.cu_seqlens) for r in spark.read.parquet(str(tmp_path / "b")).collect()}
     assert got == {r.row_id: (r.ids, r.position_ids, r.cu_seqlens) for r in packed.collect()}
 
 
-@pytest.mark.parametrize("text", ["a" + "\n" * 100_000 + "b", "x" * 200_000, "ab1 " * 50_000, "it's  a\n\n b", ""])
+def test_padding_is_no_token():
+    assert packing.PAD not in Tokenizer.from_file(PATH).get_vocab().values() and packing.PAD < 1 << 16
+
+
+@pytest.mark.parametrize("text", ["a" + "\n" * 100_000 + "b", "x" * 200_000, "ab1 " * 50_000, "it's  a\n\n b", "", "<|endoftext|>", "a <|endoftext|> b", "a <|endoftext|>" + " " * 5000 + "b<|endoftext|>"])
 def test_long_texts_are_encoded_whole(text):
-    fast = packing.tokenizer(public_tokenizers.path(packing.DEFAULT))
+    fast = packing.tokenizer(public_tokenizers.path(packing.DEFAULT), PATH)
     assert packing.encoded(text, fast, PATH).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
