@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import documents, keep
+from lodestack.llm.common import documents, keep, starts
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -40,27 +40,37 @@ def inverted(knots: Sequence[tuple[float, float]], share: Column) -> Column:
     return F.least(out, F.lit(1.0))
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """per(source, ...) with `nth`, counting from 0 by code point, null last: places within sorted ranges, plus the ranges before."""
+    ranges = per.repartitionByRange(F.col("source").isNull(), F.col("source")).sortWithinPartitions(F.col("source").isNull(), "source")
+    part, row = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = keep(ranges.withColumn("id", F.monotonically_increasing_id()).withColumns({"bucket": part, "row": row}).drop("id"), "mix-ranked")
+    sizes = placed.groupBy(F.lit(0).alias("all"), "bucket").agg(F.count("*").alias("n"))
+    last = placed.agg(F.max("bucket")).first()[0]
+    before = starts(sizes, ["all"], "n", (last or 0) + 1)
+    return placed.join(before, "bucket").withColumn("nth", F.col("start") + F.col("row")).drop("bucket", "row", "all", "start")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, target, turn) for sizes(source, size); turn indexes weights.
 
     Sources by code point, null last, take the weights in turn and share the sum of all sizes. A target stops at
-    max_repeats times its source's size and the excess is reshared by weight. What that
-    settles at is min(limit, level x weight): by rising limit / weight, a prefix of the sources is at
-    its limit, and level is what is left over the weights that are left. One row for each source is ordered here.
+    max_repeats times its source's size and the excess is reshared by weight until none is above: each round one aggregate finds
+    the level, words per weight, that the sources below their limit get, until no further source reaches its limit.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("turn", ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
+    per = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    per = per.withColumn("turn", (F.col("nth") % len(weights)).cast("int"))
     per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("turn") + 1)).withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
-    everything = W.partitionBy()
-    by_ratio = W.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    rest = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest
-    per = per.withColumn("level", level).withColumn("free", F.col("level") <= F.col("cap") / F.col("w"))
-    per = per.withColumn("level", F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("w"), F.col("source").isNull(), "source", "level"))).over(everything)["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w")))
-    return per.select("source", "source_size", F.round(target, 6).alias("target"), "turn")
+    per = keep(per, "mix-sources")
+    level = 0.0
+    while True:
+        free = F.col("cap") / F.col("w") >= F.lit(level)
+        sums = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(~free, F.col("cap"))).alias("met"), F.sum(F.when(free, F.col("w"))).alias("w")).first()
+        new = (sums["all"] - (sums["met"] or 0.0)) / sums["w"] if sums["w"] else level
+        if new <= level:
+            break
+        level = new
+    return per.select("source", "source_size", F.round(F.least("cap", F.lit(level) * F.col("w")), 6).alias("target"), "turn")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -73,21 +83,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES,
     position is the first; null if nothing is taken. Rows with equal doc_id in a source stand in order of size; equal in
     both, they get the same or adjoining ranges in either order. Null doc_ids stand first. An empty table gives no rows.
 
-    The running sum has two levels, so that a source of any size is many short windows: sums of hash buckets, then
-    rows within a bucket. The number of buckets follows from the number of rows.
+    The running sum is made of short windows, however large a source is: rows within a hash bucket, and sums of buckets level by level. The
+    number of buckets follows from the number of rows.
     """
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("place"))
     rows = keep(rows, "mix-sizes")
     n = rows.count()
     digits = max(1, math.ceil(math.log(max(n, 1) / ROWS_PER_BUCKET + 1, 16)))
-    rows = rows.withColumn("bucket", F.substring("place", 1, digits))
+    rows = rows.withColumn("bucket", F.coalesce(F.conv(F.substring("place", 1, digits), 16, 10).try_cast("long"), F.lit(0)))
     per_bucket = keep(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
-    starts = per_bucket.withColumn("start", F.sum("size").over(W.partitionBy("source").orderBy("bucket")) - F.col("size")).drop("size")
+    begin = keep(starts(per_bucket, ["source"], "size", 16**digits), "mix-starts")
     targets = keep(source_targets(per_bucket, weights, max_repeats), "mix-targets")
-    starts = keep(starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "start", "source_size", "target", "turn"), "mix-starts")
+    begin = keep(begin.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "start", "source_size", "target", "turn"), "mix-plans")
     within = W.partitionBy("source", "bucket").orderBy("place", "doc_id", "size")
     rows = rows.withColumn("run", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    rows = rows.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
+    rows = rows.alias("r").join(begin.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
     rows = rows.select("doc_id", "r.source", "size", "source_size", "target", "turn", (F.col("start") + F.col("run")).alias("at"))
     budget = F.round("target").cast("long")
     parts = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - F.col("at") - F.lit(e) * F.col("source_size"))) for e in range(max_repeats)]

@@ -25,7 +25,7 @@ from lodestack.llm.common import connected_components, documents, keep
 SHINGLE = 3
 THRESHOLD = 3
 HALF_BITS = 31
-ROWS_PER_BLOCK = 2000
+HOMES_PER_BLOCK, ROWS_PER_BLOCK = 500, 2000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -54,15 +54,16 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (signed long) of docs(doc_id, text). Null and empty texts get 0."""
+    """doc_id, digest and fp (signed long) of docs(doc_id, text); digest is the text's SHA-256, null as empty. Null and empty texts get 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             fp = [fingerprint(x.as_py(), shingle) for x in texts]
-            yield pa.record_batch([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text")
+    return rows.mapInArrow(run, "doc_id long, digest binary, fp long")
 
 
 def _codewords_near() -> list[list[int]]:
@@ -117,7 +118,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, crowded: int = 100) -> Dat
     """Edges (a, b) between reps of fps(fp, rep) that join all fingerprints at threshold or fewer differing bits.
 
     An anchor with up to `crowded` home fingerprints is an equi-join: its pairs grow with the rows that reach it, not with
-    their square. Rows of an anchor with more are dealt to blocks, every block of homes against every block of rows, and a block
+    their square. Homes and rows of an anchor with more are dealt to blocks of their own, every block of homes against every block of rows, and a pair of blocks
     returns edges that connect what is linked in it, at most one for each row. No pair goes unseen.
     """
     if threshold > 3:
@@ -127,35 +128,51 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, crowded: int = 100) -> Dat
     hot = keep(homes.groupBy("half", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowded), "simhash-crowded")
     calm = homes.join(hot.select("half", "anchor"), ["half", "anchor"], "left_anti").alias("x").join(rows.alias("y"), ["half", "anchor"])
     calm = calm.where((F.col("x.fp") != F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= threshold)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    blocks = F.ceil(F.col("n") / ROWS_PER_BLOCK * 4).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = rows.join(hot, ["half", "anchor"])
-    as_home = dealt.where("home").select("half", "anchor", "home", "fp", "rep", own.alias("i"), F.explode(every).alias("j"))
-    as_row = dealt.select("half", "anchor", F.lit(False).alias("home"), "fp", "rep", F.explode(every).alias("i"), own.alias("j"))
+    dealt = rows.join(hot.select("half", "anchor"), ["half", "anchor"])
+    sizes = dealt.groupBy("half", "anchor").agg(F.ceil(F.count_if("home") / HOMES_PER_BLOCK).cast("int").alias("home_blocks"), F.ceil(F.count("*") / ROWS_PER_BLOCK).cast("int").alias("row_blocks"))
+    dealt = dealt.join(keep(sizes, "simhash-blocks"), ["half", "anchor"])
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    as_home = dealt.where("home").select("half", "anchor", "home", "fp", "rep", block("home_blocks").alias("i"), every("row_blocks").alias("j"))
+    as_row = dealt.select("half", "anchor", F.lit(False).alias("home"), "fp", "rep", every("home_blocks").alias("i"), block("row_blocks").alias("j"))
     busy = as_home.unionByName(as_row).groupBy("half", "anchor", "i", "j").applyInPandas(lambda g: _crowded_links(g, threshold), "a long, b long")
     return calm.unionByName(busy)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp and component_id for every row of docs(doc_id, text).
+    """doc_id, digest, fp, component and component_id for every row of docs(doc_id, text); other columns, whatever their names, aren't read.
 
+    component is the smallest fingerprint of the component, the same for all its rows and for no others.
     component_id is the smallest doc_id reachable over links of at most `threshold` differing bits, the row itself
     included. Rows without a doc_id get their fingerprint, link with nothing and have component_id null. Null,
-    empty and word-less texts have fingerprint zero and link like any other. Repeated rows share all values. Equal
-    fingerprints are one row in all that follows the first aggregate, so copies cost nothing there.
+    empty and word-less texts have fingerprint zero and link like any other. Repeated rows share all values; a doc_id
+    that stands at different texts joins nothing by that. Equal fingerprints are one row in all that follows the first aggregate,
+    so copies cost nothing there. An empty table gives no rows.
     """
     fps = keep(fingerprints(docs, shingle), "simhash")
-    distinct = keep(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    parts = connected_components(links(distinct, threshold), "simhash")
-    ids = keep(distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-ids")
-    return fps.join(ids, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    distinct = keep(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    parts = connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), threshold), "simhash")
+    placed = keep(distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-parts")
+    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = keep(placed.join(least, "component").select("fp", "component", "component_id"), "simhash-ids")
+    return fps.join(ids, "fp", "left").select("doc_id", "digest", "fp", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; rows without a doc_id stay; columns as they were."""
-    dropped = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    """docs with one document of each component: that of the smallest doc_id, and of its texts in the component that of the smallest digest.
+
+    Rows without a doc_id stay. Rows that repeat the doc_id and the text of the document that stays all stay. Columns as they were.
+    """
+    found = keep(near_duplicates(docs.select("doc_id", "text")), "simhash-found")
+    stays = found.where("doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*")
+    dropped = found.where("doc_id is not null").join(stays, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.join(dropped, (docs["doc_id"] == F.col("__id")) & (digest == F.col("__digest")), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

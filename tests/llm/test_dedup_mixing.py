@@ -116,6 +116,69 @@ def test_near_duplicates_of_the_small_table(spark):
     assert got == {r.doc_id: (plain_fingerprint(r.text), want[r.doc_id]) for r in rows}
 
 
+def test_one_document_of_each_group_stays(spark):
+    far = "quite another text with many words of its own"
+    rows = [(1, "a b c"), (2, "a b c"), (2, far), (3, far), (None, far), (4, None), (5, ""), (6, " \t"), (7, "long words here " * 20_000), (8, "long words here " * 20_000), (1, "a  b c")]
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows])
+    found = sorted((str(r.doc_id), r.text or "") for r in simhash.one_of_each_group(docs).collect())
+    assert found == sorted([min(("1", "a b c"), ("1", "a  b c"), key=lambda r: hashlib.sha256(r[1].encode()).digest()), ("2", far), ("4", ""), ("7", "long words here " * 20_000), ("None", far)])
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    of = lambda t: plain_fingerprint(t) - (2**64 if plain_fingerprint(t) >= 2**63 else 0)
+    assert got == {(1, of("a b c")): 1, (2, of("a b c")): 1, (2, of(far)): 2, (3, of(far)): 2, (None, of(far)): None, (4, 0): 4, (5, 0): 4, (6, 0): 4, (7, of("long words here " * 3)): 7, (8, of("long words here " * 3)): 7}
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def plain_targets(sizes):
+    total, targets = sum(sizes.values()), {}
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    while True:
+        free = [s for s in sizes if s not in targets]
+        if not free:
+            return targets
+        level = (total - sum(targets.values())) / sum(weight[s] for s in free)
+        above = [s for s in free if level * weight[s] > 3 * sizes[s]]
+        if not above:
+            return targets | {s: level * weight[s] for s in free}
+        targets |= {s: 3.0 * sizes[s] for s in above}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_equals_plain_values(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    sources = [None, "", *[f"s{k}" for k in range(9)]]
+    share = [rng.random() ** 4 for _ in sources]
+    rows = [(i, None if i % 11 == 0 else "w " * rng.randint(0, 30), rng.choices(sources, share)[0]) for i in range(300)]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    want, run = plain_targets(dict(sizes)), defaultdict(int)
+    got = {r.doc_id: r for r in mixing.mix(docs_of(spark, rows)).collect()}
+    for i, t, s in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        size, budget, at = len((t or "").split()), round(want[s]), run[s]
+        taken = sum(max(0, min(size, budget - at - e * sizes[s])) for e in range(3))
+        assert (got[i].size, got[i].source_size, got[i].taken) == (size, sizes[s], taken)
+        assert got[i].target == pytest.approx(want[s], abs=1e-5)
+        run[s] += size
+
+
+@pytest.mark.parametrize("n", [1, 512, 513, 3000])
+def test_starts_are_running_sums(spark, n, monkeypatch):
+    import random
+
+    from lodestack.llm import common
+
+    monkeypatch.setattr(common, "FAN_OUT", 16)
+    rows = [(k, b, random.Random(b).randint(0, 9)) for k in ("a", None) for b in range(n) if b % 3]
+    got = {(r.k, r.bucket): r.start for r in common.starts(spark.createDataFrame(rows, "k string, bucket long, n long"), ["k"], "n", n).collect()}
+    run, want = defaultdict(int), {}
+    for k, b, x in rows:
+        want[k, b] = run[k]
+        run[k] += x
+    assert got == want
+
+
 def test_mix_meets_targets_and_repeats_at_most_three_times(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = mixing.mix(docs).collect()
