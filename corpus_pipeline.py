@@ -14,22 +14,31 @@ from lodestack.llm.common import documents, keep
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that are some language. A null, empty or letterless text goes; rows are judged by their text alone, so ties and repeated rows share
+    a verdict; a doc_id or lang may be null. No rows give none; columns stay, whatever others there are."""
     return langid.accepted(docs)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one row of each text, that of the largest doc_id; null texts count as empty, null doc_ids come last, and of rows that repeat a
+    doc_id and its text one stays. No rows give none; columns stay, whatever others there are."""
     return exact_dedup.keep_distinct_texts(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the smallest doc_id; rows without a doc_id stay, and a doc_id that
+    stands at different texts joins nothing. No rows give none; columns stay, whatever others there are."""
     return simhash.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs in training order, each as often as the mix has whole copies of it. Null sources are one source, the last; null and empty texts have
+    no words and are in no mix; rows that repeat a doc_id share a plan. No rows give none; columns stay, whatever others there are."""
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests for each row of docs, repeated rows each; a null text is empty, and a doc_id may be null. No rows give none."""
     return bpe.round_trip(docs)
 
 

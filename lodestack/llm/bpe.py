@@ -238,7 +238,9 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | No
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them, for docs(doc_id, text).
 
-    One pass, so that a core runs one Python worker and the ids are not sent back to be decoded.
+    A null text is empty: no tokens, and the digests of nothing. Rows are taken one by one, so repeated rows agree and doc_id may be null. An
+    empty table gives no rows; other columns, whatever their names, aren't read. One pass, so that a core runs one Python worker and the
+    ids are not sent back to be decoded.
     """
     path = path or public_tokenizers.path(DEFAULT)
     source = docs.select("doc_id", "text")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.storage import keep, shared_dir
 
-__all__ = ["connected_components", "crc32_mod5", "documents", "keep", "shared_dir", "starts"]
+__all__ = ["connected_components", "crc32_mod5", "documents", "fresh", "keep", "shared_dir", "starts"]
 
 #: A running sum puts so many rows in one window at most.
 FAN_OUT = 512
@@ -21,6 +21,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc32_mod5(doc_id):
     """crc32 of the id as text, modulo 5; 0 marks the held-out fold."""
     return F.crc32(doc_id.cast("string")) % 5

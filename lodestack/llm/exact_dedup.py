@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import keep, shared_dir
+from lodestack.llm.common import fresh, keep, shared_dir
 
 
 class DigestIndex:
@@ -75,10 +75,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 def keep_distinct_texts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """docs without the rows that exact_dedup drops, and one row of those that repeat a doc_id and its text; columns as they were."""
     # a null doc_id counts as one value; the key columns are those of both the reduction and the join, so rows are dealt out once
-    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id")]
-    kept = exact_dedup(docs, index).where("kept").select(*key, F.col("text_sha256").alias("__digest")).distinct()
-    rows = docs.select("*", *key, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__digest")).dropDuplicates(["__id", "__no_id", "__digest"])
-    return rows.join(kept, ["__id", "__no_id", "__digest"], "left_semi").select(*docs.columns)
+    names = fresh(docs, "id", "no_id", "digest")
+    own, none, digest = names
+    key = [F.coalesce("doc_id", F.lit(0)).alias(own), F.col("doc_id").isNull().alias(none)]
+    kept = exact_dedup(docs, index).where("kept").select(*key, F.col("text_sha256").alias(digest)).distinct()
+    rows = docs.select("*", *key, F.sha2(F.coalesce("text", F.lit("")), 256).alias(digest)).dropDuplicates(names)
+    return rows.join(kept, names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

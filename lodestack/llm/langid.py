@@ -32,7 +32,9 @@ class Settings:
     smoothing: float = 0.2
     #: Cost of a further language, times the logarithm of the number of trigrams.
     penalty: float = 6.0
-    iterations: int = 12
+    #: EM ends when no proportion moves by more than the tolerance, after so many steps at most.
+    tolerance: float = 1e-3
+    iterations: int = 200
     #: A document whose background holds more than this is no language; see accepted(). Short texts full of keys or addresses reach a half and are clean.
     max_background: float = 0.8
 
@@ -106,7 +108,7 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
             at = np.flatnonzero(sums)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at])], ["lang", "bucket", "n"])
 
-    counted = sample.repartition(8).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.repartition(max(1, 2 * len(counts))).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts)
     table = np.full((BUCKETS, len(names) + 1), settings.smoothing)
     for k, lang in enumerate(names):
@@ -116,14 +118,14 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return Model(names, (table / table.sum(0)).astype(np.float32))
 
 
-def _proportions(p: np.ndarray, weights: np.ndarray | None, n: float, iterations: int) -> tuple[np.ndarray, float]:
-    """Mixture proportions of the columns of p after some EM steps, and the log-likelihood."""
+def _proportions(p: np.ndarray, weights: np.ndarray | None, n: float, settings: Settings) -> tuple[np.ndarray, float]:
+    """Mixture proportions of the columns of p by EM, and the log-likelihood."""
     pi = np.full(p.shape[1], 1 / p.shape[1])
-    for _ in range(iterations):
+    for _ in range(settings.iterations):
         share = 1 / (p @ pi)
         new = pi * ((share if weights is None else share * weights) @ p) / n
         new /= new.sum()
-        done = np.abs(new - pi).max() < 1e-3
+        done = np.abs(new - pi).max() < settings.tolerance
         pi = new
         if done:
             break
@@ -143,12 +145,12 @@ def infer(text: str, model: Model, settings: Settings = Settings()) -> tuple[str
         weights = counts[buckets].astype(np.float64)
     p = model.table[buckets].astype(np.float64)
     rest = len(model.names)
-    full, _ = _proportions(p, weights, n, settings.iterations)
+    full, _ = _proportions(p, weights, n, settings)
     order = np.argsort(-full[:rest], kind="stable")
     best, chosen = -np.inf, None
     for k in range(1, rest + 1):
         cols = [*order[:k].tolist(), rest]
-        pi, ll = _proportions(p[:, cols], weights, n, settings.iterations)
+        pi, ll = _proportions(p[:, cols], weights, n, settings)
         value = ll - settings.penalty * k * np.log(n + 1)
         if value <= best:
             break

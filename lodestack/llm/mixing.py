@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import documents, keep, starts
+from lodestack.llm.common import documents, fresh, keep, starts
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -121,10 +121,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id share the plan of one of them; so do rows without a doc_id.
     """
-    plan = mix(docs.select("doc_id", "text", "source")).where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.slice("positions", F.lit(1), F.col("copies")).alias("__mix_at"))
-    plan = keep(plan.groupBy("__mix_id").agg(F.max("__mix_at").alias("__mix_at")), "mix-plan")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__mix_id"))).withColumn("__mix_at", F.explode("__mix_at"))
-    return rows.orderBy("__mix_at", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, at = fresh(docs, "mix_id", "mix_at")
+    plan = mix(docs.select("doc_id", "text", "source")).where("copies > 0").select(F.col("doc_id").alias(own), F.slice("positions", F.lit(1), F.col("copies")).alias(at))
+    plan = keep(plan.groupBy(own).agg(F.max(at).alias(at)), "mix-plan")
+    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own))).withColumn(at, F.explode(at))
+    return rows.orderBy(at, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

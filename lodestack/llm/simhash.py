@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from lodestack.llm.common import connected_components, documents, keep
+from lodestack.llm.common import connected_components, documents, fresh, keep
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -168,11 +168,12 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay. Rows that repeat the doc_id and the text of the document that stays all stay. Columns as they were.
     """
+    own, digest = fresh(docs, "id", "digest")
     found = keep(near_duplicates(docs.select("doc_id", "text")), "simhash-found")
     stays = found.where("doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*")
-    dropped = found.where("doc_id is not null").join(stays, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(dropped, (docs["doc_id"] == F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    dropped = found.where("doc_id is not null").join(stays, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    of_text = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.join(dropped, (docs["doc_id"] == F.col(own)) & (of_text == F.col(digest)), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,59 @@ def test_letters_beyond_the_basic_plane(spark):
 def test_without_a_learned_language_texts_with_letters_stay(spark):
     docs = spark.createDataFrame([(1, "words", None), (2, "12 !", None), (3, None, None), (4, "\U00010330", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in langid.accepted(docs).collect()} == {1, 4}
+
+
+def plain_mixture(text, model, settings):
+    """EM and the penalised search by the definition, a trigram and a language at a time."""
+    import math
+    from collections import Counter
+
+    grams = Counter(langid.trigrams(text).tolist())
+    n = sum(grams.values())
+
+    def em(columns):
+        pi = [1 / len(columns)] * len(columns)
+        for _ in range(settings.iterations):
+            new = [0.0] * len(columns)
+            for g, times in grams.items():
+                joint = [w * float(model.table[g, c]) for w, c in zip(pi, columns, strict=True)]
+                for k, x in enumerate(joint):
+                    new[k] += times * x / sum(joint) / n
+            moved = max(abs(a - b) for a, b in zip(new, pi, strict=True))
+            pi = new
+            if moved < settings.tolerance:
+                break
+        return pi, sum(t * math.log(sum(w * float(model.table[g, c]) for w, c in zip(pi, columns, strict=True))) for g, t in grams.items())
+
+    rest = len(model.names)
+    full, _ = em([*range(rest), rest])
+    order, best = sorted(range(rest), key=lambda k: -full[k]), None
+    for k in range(1, rest + 1):
+        pi, likelihood = em([*order[:k], rest])
+        value = likelihood - settings.penalty * k * math.log(n + 1)
+        if best is not None and value <= best[0]:
+            break
+        best = value, order[:k], pi
+    _, langs, pi = best
+    return [model.names[c] for c in langs], pi[:-1], pi[-1]
+
+
+def test_mixtures_equal_plain_em(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, settings = langid.learn(docs), langid.Settings()
+    texts = [r.text for r in docs.orderBy("doc_id").limit(24).collect() if r.text]
+    texts += [a[:400] + " " + b[:700] for a, b in zip(texts, texts[5:])] + ["x 17 zzqj", "a"]
+    for text in texts:
+        main, score, langs, proportions, background = langid.infer(text, model, settings)
+        want = plain_mixture(text[:20000], model, settings)
+        assert langs == want[0]
+        assert proportions == pytest.approx(want[1], abs=2e-3) and background == pytest.approx(want[2], abs=2e-3)
+        assert main == langs[proportions.index(max(proportions))] and score == pytest.approx(max(proportions), abs=1e-9)
+
+
+def test_a_very_long_text_through_spark(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs)
+    text = next(r.text for r in docs.where("lang = 'fr'").orderBy("doc_id").limit(1).collect())
+    got = langid.identify(spark.createDataFrame([(1, text * (1 + 3_000_000 // len(text)), 0.5), (2, text, 0.1)], "doc_id long, text string, score double"), model).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["fr", "fr"]

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql.types import StructType
 from test_dedup_mixing import brute_components, plain_fingerprint
 from tokenizers import Tokenizer
 
@@ -72,3 +73,39 @@ def test_mixed_documents_stand_in_order(spark):
         seen[r.doc_id] += 1
         assert at >= last
         last = at
+
+
+def test_odd_rows_through_every_stage(spark, tmp_path):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    text = base.where("lang = 'en' and n_chars > 400").orderBy("doc_id").first().text
+    # the words backwards, so that no document of the table has its shingles
+    long = (" ".join(reversed(text.split())) + " ") * 600
+    schema = StructType([*base.schema.fields]).add("digest", "string").add("fp", "long").add("size", "long").add("position", "double").add("__id", "long").add("ids_sha256", "string")
+    clash = ("clash", 1, 2, 0.5, 3, "clash")
+    odd = [
+        (9_000_001, None, "en", "web", 0), (9_000_002, "", None, "web", 0), (9_000_003, " \t\n", "en", None, 3), (9_000_004, "12 34 +-", "de", None, 8),
+        (9_000_005, text + " zero", None, None, None), (9_000_005, text + " zero", None, None, None), (None, text + " none", "en", "web", 1), (None, text + " none", None, "web", 1),
+        (9_000_006, long, "en", "web", None), (9_000_007, long, "en", "web", None), (9_000_008, text[:300], "en", "src", 1), (9_000_008, text[200:700], "en", "src", 1),
+    ]
+    rows = [(*r, *clash) for r in odd] + [(*(r[c] for c in base.columns), *clash) for r in base.limit(150).collect()]
+    order = {c: k for k, c in enumerate(base.columns)}
+    keys = ("doc_id", "text", "lang", "source", "n_chars")
+    assert set(order) == set(keys)
+    rows = [(*(dict(zip(keys, r[:5], strict=True))[c] for c in base.columns), *r[5:]) for r in rows[: len(odd)]] + rows[len(odd) :]
+    docs = spark.createDataFrame(rows, schema)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.keep(stage(spark, docs, SF), "odd")
+        if name != "BPE":
+            assert out.columns == docs.columns and {r.digest for r in out.select("digest").collect()} <= {"clash"}
+        seen[name], docs = out, out
+    ids = {n: Counter(r.doc_id for r in d.select("doc_id").collect()) for n, d in seen.items()}
+    gone = {9_000_001, 9_000_002, 9_000_003, 9_000_004}
+    assert not gone & set(ids["language ID"]) and ids["language ID"][9_000_005] == 2 and ids["language ID"][None] == 2
+    assert ids["exact dedup"][9_000_005] == 1 and ids["exact dedup"][None] == 1 and 9_000_006 not in ids["exact dedup"] and ids["exact dedup"][9_000_007] == 1
+    assert ids["SimHash near-dedup"][None] == 1 and ids["SimHash near-dedup"][9_000_007] == 1
+    assert ids["mixing"] == ids["BPE"]
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and (name == "BPE" or out.columns == empty.columns)
