@@ -121,6 +121,33 @@ def test_chunk_budgets(words_per, n):
     assert len(found) == n and all(c[4] <= 480 for c in found)
 
 
+def test_chunk_budget_is_clamped():
+    assert [etl.Chunker(b, 10**6).budget for b in (1, 64, 8000, 100_000)] == [64, 64, 8000, 8000]
+    assert etl.Chunker(100, 10**6).overlap == 50 and etl.Chunker(100, -3).overlap == 0
+
+
+@pytest.mark.parametrize("budget, overlap", [(64, 0), (64, 32), (128, 16), (480, 60)])
+def test_chunk_rules_hold_for_every_document(spark, budget, overlap):
+    """Within the budget, all words in order, each chunk headed by an end of the one before, and none shorter than it must be."""
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").collect():
+        pages = [(k, part) for k, part in enumerate(row.text.replace("\n", "\n\n").split("\n\n\n\n"))]
+        words = " ".join(part for _, part in pages).split()
+        # where a chunk may end among the words: repeated words leave several places open
+        found, ends, before = etl.Chunker(budget, overlap).chunks(pages), {0}, []
+        for index, (number, first, last, text, tokens) in enumerate(found):
+            own, piece, after = text.split(), text.split("\n\n"), set()
+            assert number == index and tokens == len(own) <= budget and first <= last
+            for at in ends:
+                for head in range(min(overlap, at) + 1):
+                    if words[at - head : at - head + len(own)] != own or own[:head] != before[len(before) - head :]:
+                        continue
+                    new = next((p for k, p in enumerate(piece) if sum(len(x.split()) for x in piece[: k + 1]) > head), "")
+                    if not index or len(before) + len(new.split()) > budget:
+                        after.add(at - head + len(own))
+            ends, before = after, own
+        assert not words and not found or len(words) in ends
+
+
 def test_chunks_cover_and_overlap(spark):
     text = "\n\n".join(f"Paragraph {i}. " + " ".join(f"w{i}x{j}" for j in range(20)) + "." for i in range(30)) + "\n\n" + "long" * 2000
     chunker = etl.Chunker(100, 25)
