@@ -60,7 +60,7 @@ def flags(spark, sf_dir):
 
 def previews(spark, sf_dir):
     """Citations that aren't blank, three at most for each question."""
-    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 40)).alias("quote"))
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("text")).alias("quote"))
     shown = F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "quote"))), 1, 3)
     best = rows.where("trim(quote) <> ''").groupBy("query_id", (F.floor(F.col("doc_id") / 400)).alias("part")).agg(shown.alias("some"))
     # the first three of parts' first three, so that no list grows with the table
@@ -88,7 +88,7 @@ SQL = {
     "v7_j12_distances": "WITH p AS (SELECT vec_id // 10 * 100 AS query_id, vec_id * 3 AS doc_id FROM embeddings) SELECT p.query_id, p.doc_id, round(coalesce(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 1), 6) AS distance FROM p LEFT JOIN embeddings q ON q.vec_id = p.query_id AND q.vec_id % 100 = 0 LEFT JOIN embeddings e ON e.vec_id = p.doc_id",
     "v3_p7_scoped_search": ASKED_SQL + ", d AS (SELECT s.query_id, s.doc_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance FROM scope s JOIN embeddings e ON e.vec_id = s.doc_id JOIN embeddings q ON q.vec_id = s.query_id * 7) SELECT query_id, doc_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id)::INTEGER AS rank FROM d QUALIFY rank <= 5",
     "d1_ingest": f"WITH x AS (SELECT doc_id, doc_id % 9 = 1 AS broken, CASE WHEN doc_id % 9 = 1 THEN '' WHEN doc_id % 10 = 2 THEN ' ' ELSE text END AS t FROM documents WHERE doc_id % 4 <> 0), h AS (SELECT *, CASE WHEN trim(t, ' ') <> '' THEN {HASH_SQL.format('t')} END AS content_hash FROM x), k AS (SELECT {HASH_SQL.format('text')} AS content_hash, min(doc_id) AS duplicate_of FROM documents WHERE doc_id % 4 = 0 GROUP BY 1) SELECT doc_id, CASE WHEN content_hash IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN broken THEN 'broken file' WHEN content_hash IS NULL THEN 'no extractable text' END AS error, h.content_hash, CASE WHEN content_hash IS NOT NULL THEN {LANG_SQL} END AS language, CASE WHEN broken THEN 0 ELSE 1 END::INTEGER AS page_count, duplicate_of FROM h LEFT JOIN k USING (content_hash)",
-    "a15_flags": "SELECT 'documents' AS name, count(*) > 0 AS any FROM documents UNION ALL SELECT 'pages', false UNION ALL SELECT 'customer', coalesce(bool_or(c_acctbal < 0), false) FROM customer",
-    "p15_citation_preview": "WITH r AS (SELECT doc_id % 40 AS query_id, doc_id FROM documents WHERE doc_id % 3 <> 0 AND trim(left(text, 40), ' ') <> '' QUALIFY row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) <= 3) SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS shown FROM r GROUP BY 1",
+    "a15_flags": "SELECT 'documents' AS name, count(*) > 0 AS any FROM documents UNION ALL SELECT 'pages', coalesce(bool_or(page_id < 0), false) FROM pages UNION ALL SELECT 'customer', coalesce(bool_or(c_acctbal < 0), false) FROM customer",
+    "p15_citation_preview": "WITH r AS (SELECT doc_id % 40 AS query_id, doc_id FROM documents WHERE doc_id % 3 <> 0 AND trim(text, ' ') <> '' QUALIFY row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) <= 3) SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS shown FROM r GROUP BY 1",
     "f17_d20_display": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Zhipu' WHEN 1 THEN 'Text Re Ranking' WHEN 2 THEN 'GLM 模型' ELSE p_brand END AS display, a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)) AS private FROM (SELECT *, p_partkey % 256 AS a, p_partkey % 200 AS b FROM part)",
 }

@@ -62,13 +62,12 @@ def point_lookup(spark, sf_dir):
 
 def resolve_ids(spark, sf_dir):
     docs = library(spark, sf_dir)
-    return C.resolve(docs.where("doc_id % 50 = 0").select(F.col("original_filename").alias("identifier")), docs)
+    return C.resolve(docs.select(F.col("original_filename").alias("identifier")), docs)
 
 
 def chunk_scan(spark, sf_dir):
     docs = library(spark, sf_dir).where(visible())
-    rows = chunks(docs.join(docs.where("doc_id % 10 = 0").select("doc_id"), "doc_id", "left_semi"))
-    return rows.select("doc_id", "chunk_index", F.length("text").cast("long").alias("chars"), F.md5(F.substring("text", 1, 500)).alias("preview_md5"))
+    return chunks(docs).select("doc_id", "chunk_index", F.length("text").cast("long").alias("chars"), F.md5(F.substring("text", 1, 500)).alias("preview_md5"))
 
 
 def pages_missing(spark, sf_dir):
@@ -128,7 +127,7 @@ def windows(spark, sf_dir):
 def semantic(spark, sf_dir):
     """Documents of three vectors each: doc vec_id // 3, window vec_id % 3; the copy of window w of document d is its own vector in document d + 1,000,000."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.floor(F.col("vec_id") / 3).alias("doc"), (F.col("vec_id") % 3).alias("window"))
-    asked = rows.where("doc % 10 = 0").select(F.col("doc").alias("doc_id"), "window", "vector")
+    asked = rows.select(F.col("doc").alias("doc_id"), "window", "vector")
     held = rows.select(F.col("vec_id").alias("doc_id"), (F.col("doc") + F.when(F.col("doc") % 20 == 0, 1_000_000).otherwise(0)).alias("owner"), "vector")
     return D.semantic_duplicates(asked, held).select("doc_id", "duplicate_of", F.round("total_distance", 6).alias("total_distance"))
 
@@ -221,7 +220,7 @@ def cascaded(spark, sf_dir):
 
 
 def replaced(spark, sf_dir):
-    old = chunks(table(spark, sf_dir, "documents").where("doc_id % 2 = 0"))
+    old = chunks(table(spark, sf_dir, "documents"))
     new = old.where("doc_id % 4 = 0 and chunk_index = 0").select("doc_id", "chunk_index", F.reverse("text").alias("text"))
     return S.replace_children(old, new, "doc_id").select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
 
@@ -287,8 +286,8 @@ SQL = {
     "a2_total_pages": L + f"SELECT count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS pages FROM library WHERE len({FIELDS_SQL.format('policy')}) > 0",
     "catalogue_counts": CHUNK_COUNT + "SELECT doc_id, page_count, chunk_count FROM docs",
     "s14_point_lookup": L + "SELECT i.identifier, d.doc_id FROM (SELECT unnest([doc_id::VARCHAR, original_filename, 'missing-' || doc_id]) AS identifier FROM library WHERE doc_id % 100 = 0) i LEFT JOIN library d ON i.identifier IN (d.doc_id::VARCHAR, d.original_filename)",
-    "s15_resolve": L + "SELECT original_filename AS identifier, doc_id FROM library WHERE doc_id % 50 = 0",
-    "s16_s18_chunk_scan": f"{L}, {CHUNKS_SQL} SELECT c.doc_id, chunk_index, length(c.text) AS chars, md5(left(c.text, 500)) AS preview_md5 FROM chunks c JOIN library USING (doc_id) WHERE approved AND access_level = 'public' AND doc_id % 10 = 0",
+    "s15_resolve": L + "SELECT original_filename AS identifier, doc_id FROM library",
+    "s16_s18_chunk_scan": f"{L}, {CHUNKS_SQL} SELECT c.doc_id, chunk_index, length(c.text) AS chars, md5(left(c.text, 500)) AS preview_md5 FROM chunks c JOIN library USING (doc_id) WHERE approved AND access_level = 'public'",
     "s17_pages_missing": L + "SELECT status, count(*) AS n, sum(page_count)::BIGINT AS pages FROM library WHERE status NOT IN ('parsed', 'annotated', 'ready') GROUP BY status",
     "a12_facets": L + "SELECT DISTINCT 'policy_area' AS facet, unnest(policy_areas) AS value FROM library UNION SELECT 'region', country_region FROM library UNION SELECT 'source_type', source_type FROM library",
     "a13_dashboard": CHUNK_COUNT + "SELECT count(*) FILTER (status = 'ready') AS ready, sum(chunk_count)::BIGINT AS chunks, count(*) AS documents FROM docs",
@@ -313,7 +312,7 @@ SQL = {
     "u4_metadata_patch": META_SQL + "SELECT o.doc_id, CASE WHEN n.doc_id % 2 = 0 THEN n.title ELSE o.title END AS title, o.year, array_to_string(CASE WHEN len(n.keywords) > 0 THEN n.keywords ELSE o.keywords END, ',') AS keywords FROM o LEFT JOIN n ON o.doc_id = n.doc_id",
     "u1_u2_upsert": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN upper(s_name) WHEN s_suppkey % 3 = 0 THEN 'added' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal * 0 ELSE s_acctbal END AS s_acctbal FROM supplier",
     "u10_cascade": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
-    "u7_replace": f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, md5(CASE WHEN doc_id % 4 = 0 THEN reverse(text) ELSE text END) AS text_md5 FROM chunks WHERE doc_id % 2 = 0 AND (doc_id % 4 <> 0 OR chunk_index = 0)",
+    "u7_replace": f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, md5(CASE WHEN doc_id % 4 = 0 THEN reverse(text) ELSE text END) AS text_md5 FROM chunks WHERE doc_id % 4 <> 0 OR chunk_index = 0",
     "p14_invites": "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'used' WHEN user_id % 10 = 0 THEN 'revoked' WHEN ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' THEN 'expired' ELSE 'active' END AS state FROM events",
     "u9_ordered_union": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2",
     "a14_distinct_labels": "SELECT p_brand, arg_min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type END, p_partkey) AS p_type, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand, lower(p_type)",

@@ -57,14 +57,14 @@ def region_coverage(spark, sf_dir):
     """Regions that a question names, with the documents of the same number modulo 40 as what is cited."""
     asked = inferred(spark, sf_dir).select("query_id", F.explode("country_regions").alias("region"))
     docs = library(spark, sf_dir)
-    cited = docs.where("doc_id % 3 = 0").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", F.substring("text", 1, 300).alias("text"))
+    cited = docs.select((F.col("doc_id") % 40).alias("query_id"), "doc_id", "text")
     return M.missing_regions(asked, cited, docs)
 
 
 def region_supplement(spark, sf_dir):
     docs = library(spark, sf_dir)
     kept = docs.where("doc_id % 5 = 0").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", F.col("doc_id").alias("position"))
-    extra = docs.where("doc_id % 7 = 0").select((F.col("doc_id") % 40).alias("query_id"), F.col("country_region").alias("region"), "doc_id", F.col("doc_id").alias("rank"))
+    extra = docs.select((F.col("doc_id") % 40).alias("query_id"), F.col("country_region").alias("region"), "doc_id", F.col("doc_id").alias("rank"))
     return M.supplement(kept, extra)
 
 
@@ -156,9 +156,9 @@ def grounds(spark, sf_dir):
 
 def evidence_texts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    n = docs.select(F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("chunk_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), (F.col("doc_id") % 100).cast("string"))).alias("url"), F.substring("text", 1, 50).alias("quote"))
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 100).alias("text"))
-    pages = table(spark, sf_dir, "pages").where("page_id < 50").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.substring("html", 1, 80).alias("text"))
+    n = docs.select(F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("chunk_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), (F.col("doc_id") % 100).cast("string"))).alias("url"), F.substring("text", 1, 500).alias("quote"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.col("html").alias("text"))
     return H.evidence_texts(n, chunks, pages).select("number", F.md5("text").alias("text_md5"))
 
 
@@ -276,8 +276,8 @@ SEEN_SQL = "seen AS (SELECT page_id % 10 AS session_id, (page_id // 10) % 3 AS t
 SQL = {
     "f3_f7_filter_inference": f"WITH {PHRASE_SQL}, {EXPECT_SQL} SELECT query_id, array_to_string(policy_areas, ',') AS policy_areas, array_to_string(country_regions, ',') AS country_regions, '' AS source_organisations, array_to_string(languages, ',') AS languages, array_to_string(tags, ',') AS tags, year_from, year_to, freshness FROM expected",
     "p8_p11_filter_application": f"WITH {PHRASE_SQL}, {EXPECT_SQL}, {LIBRARY_SQL.strip()}, n AS (SELECT f.query_id, count(*) AS n FROM expected f JOIN library d ON {MATCH_SQL} GROUP BY 1), r AS (SELECT f.*, coalesce(n, 0) AS n_matched, k <> 7 AS applied, concat_ws('; ', CASE WHEN len(policy_areas) > 0 THEN 'policy area=' || array_to_string(policy_areas, ', ') END, CASE WHEN len(country_regions) > 0 THEN 'region=' || array_to_string(country_regions, ', ') END, CASE WHEN len(languages) > 0 THEN 'language=' || array_to_string(languages, ', ') END, CASE WHEN len(tags) > 0 THEN 'tag=' || array_to_string(tags, ', ') END, CASE WHEN year_from = year_to THEN 'year=' || year_from END, CASE WHEN year_from IS DISTINCT FROM year_to THEN 'year>=' || year_from END, CASE WHEN year_from IS DISTINCT FROM year_to THEN 'year<=' || year_to END) AS d FROM expected f LEFT JOIN n USING (query_id)), s AS (SELECT *, CASE WHEN d = '' THEN 'none' ELSE d END AS description FROM r) SELECT query_id, applied, applied AND n_matched = 0 AS fallback, n_matched, description, CASE WHEN NOT applied THEN NULL WHEN n_matched > 0 THEN 'Applied document metadata filters: ' || description || '.' WHEN freshness THEN 'No documents matched the requested current/recent filter (' || description || '). The search was expanded to the original document scope; older sources may no longer reflect current policy.' ELSE 'No documents matched the requested metadata filters (' || description || '). The search was expanded to the original document scope, so the returned sources may not satisfy every requested constraint.' END AS notice FROM s",
-    "e10_missing_regions": f"WITH {PHRASE_SQL}, {EXPECT_SQL}, {LIBRARY_SQL.strip()}, a AS (SELECT query_id, unnest(country_regions) AS region FROM expected), c AS (SELECT doc_id % 40 AS query_id, country_region, left(text, 300) AS text FROM library WHERE doc_id % 3 = 0) SELECT query_id, region FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = a.query_id AND (c.country_region = a.region OR contains(lower(c.text), lower(a.region))))",
-    "e9_region_supplement": f"WITH {LIBRARY_SQL.strip()}, k AS (SELECT doc_id % 40 AS query_id, doc_id, doc_id AS position FROM library WHERE doc_id % 5 = 0), x AS (SELECT doc_id % 40 AS query_id, country_region AS region, doc_id FROM library WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0) SELECT * FROM k UNION ALL SELECT x.query_id, x.doc_id, coalesce((SELECT max(position) FROM k WHERE k.query_id = x.query_id), 0) + row_number() OVER (PARTITION BY x.query_id ORDER BY region, x.doc_id) FROM x",
+    "e10_missing_regions": f"WITH {PHRASE_SQL}, {EXPECT_SQL}, {LIBRARY_SQL.strip()}, a AS (SELECT query_id, unnest(country_regions) AS region FROM expected), c AS (SELECT doc_id % 40 AS query_id, country_region, text FROM library) SELECT query_id, region FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = a.query_id AND (c.country_region = a.region OR contains(lower(c.text), lower(a.region))))",
+    "e9_region_supplement": f"WITH {LIBRARY_SQL.strip()}, k AS (SELECT doc_id % 40 AS query_id, doc_id, doc_id AS position FROM library WHERE doc_id % 5 = 0), x AS (SELECT doc_id % 40 AS query_id, country_region AS region, doc_id FROM library WHERE doc_id % 5 <> 0) SELECT * FROM k UNION ALL SELECT x.query_id, x.doc_id, coalesce((SELECT max(position) FROM k WHERE k.query_id = x.query_id), 0) + row_number() OVER (PARTITION BY x.query_id ORDER BY region, x.doc_id) FROM x",
     "w6_turn_index": f"WITH {M_SQL} SELECT session_id, seq, (count(*) FILTER (role = 'user') OVER (PARTITION BY session_id ORDER BY seq))::INTEGER AS turn FROM m",
     "w10_current_turn": f"WITH {M_SQL}, l AS (SELECT session_id, max(seq) AS last FROM m WHERE role = 'user' GROUP BY 1) SELECT m.session_id, seq, role FROM m LEFT JOIN l ON l.session_id = m.session_id WHERE seq >= coalesce(last, -1) OR (role IN ('user', 'assistant') AND trim(coalesce(content, ''), ' ') <> '')",
     "w7_history": f"WITH {M_SQL}, r AS (SELECT session_id, seq FROM m QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 4) SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq)::INTEGER AS position FROM r",
@@ -292,7 +292,7 @@ SQL = {
     "c9_trace_summary": f"WITH {SEEN_SQL}, t AS (SELECT session_id || '-' || turn AS call_id, title, min(position) AS first, count(*) AS n FROM seen GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY first) AS k FROM t) SELECT call_id, sum(n)::BIGINT AS n_results, string_agg(title, ' | ' ORDER BY first) FILTER (k <= 5) AS titles FROM r GROUP BY 1",
     "c10_filter_notice": "SELECT user_id AS session_id, event_id AS seq, nullif(last_value(CASE WHEN event_type = 'error' THEN 'n' || event_id WHEN event_type = 'purchase' THEN '' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), '') AS standing FROM events",
     "e14_new_ground": "WITH e AS (SELECT *, event_type || ':' || (event_id % 9) AS key FROM events) SELECT event_id AS call_id, NOT EXISTS (SELECT 1 FROM e s WHERE s.event_id % 2 = 0 AND s.user_id = e.user_id AND s.key = e.key) AS claims_new FROM e WHERE event_id % 2 = 1",
-    "e15_evidence_texts": "SELECT d.doc_id AS number, md5(coalesce(CASE WHEN d.doc_id % 3 = 0 THEN left(d.text, 100) END, left(p.html, 80), left(d.text, 50))) AS text_md5 FROM documents d LEFT JOIN pages p ON d.doc_id % 2 = 0 AND p.page_id = d.doc_id % 100 AND p.page_id < 50",
+    "e15_evidence_texts": "SELECT d.doc_id AS number, md5(coalesce(CASE WHEN d.doc_id % 3 = 0 THEN d.text END, p.html, left(d.text, 500))) AS text_md5 FROM documents d LEFT JOIN pages p ON d.doc_id % 2 = 0 AND p.page_id = d.doc_id % 100",
     "c2_final_messages": f"WITH {M_SQL}, x AS (SELECT session_id * 1000 + seq AS message_id, content FROM m) SELECT message_id, md5(CASE WHEN message_id % 3 = 0 THEN content WHEN message_id % 2 = 0 THEN 'new ' || message_id WHEN message_id % 5 = 0 THEN content ELSE '' END) AS content_md5, CASE WHEN message_id % 3 = 0 THEN 'streaming' WHEN message_id % 5 = 0 THEN 'error' ELSE 'complete' END AS status FROM x",
     "e13_cited_tiers": "WITH c AS (SELECT item_id AS answer_id, item_id % 4 AS a, item_id % 3 AS b, unnest([0, 1, 2, 3]) AS number FROM benchmark), u AS (SELECT answer_id, number, CASE WHEN number = a THEN 0 ELSE 1 END AS place, a, b FROM c WHERE number IN (a, b)), t AS (SELECT answer_id, ['web', 'internal', 'full_corpus', 'full_corpus'][number + 1] AS tier, place, number = 2 AND 1 IN (a, b) AS gone FROM u) SELECT answer_id, tier, min(place)::INTEGER AS first_place FROM t WHERE NOT gone GROUP BY 1, 2",
     "f18_web_intent": f"WITH {PHRASE_SQL} SELECT query_id, query_id % 4 <> 1 AND (query_id % 8 = 3 OR query_id % 4 = 2 OR (query_id % 8 = 4)) AS requires_check, query_id % 4 = 0 AS requests_search FROM questions",

@@ -77,12 +77,12 @@ def taxonomy_labels(spark, sf_dir):
 
 def embedding_inputs(spark, sf_dir):
     docs = library(spark, sf_dir)
-    text = etl.embedding_input(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  About\n"), "original_filename", F.lit(" "), F.repeat("source_type", 60))), F.substring("text", 1, 100))
-    return docs.select("doc_id", F.md5(text).alias("input_md5"), etl.infer_chunk_language(F.when(F.col("doc_id") % 3 == 0, "detected"), F.col("language"), F.substring("text", 1, (F.col("doc_id") % 40).cast("int"))).alias("language"))
+    text = etl.embedding_input(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  About\n"), "original_filename", F.lit(" "), F.repeat("source_type", 60))), F.col("text"))
+    return docs.select("doc_id", F.md5(text).alias("input_md5"), etl.infer_chunk_language(F.when(F.col("doc_id") % 3 == 0, "detected"), F.col("language"), F.col("text")).alias("language"))
 
 
 def vector_literals(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.length(V.vector_literal(F.slice("embedding", 1, 3))).cast("long").alias("chars"), F.regexp_extract(V.vector_literal(F.col("embedding")), r"^\[(-?[0-9]\.[0-9]{4})", 1).alias("head"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.length(V.vector_literal(F.col("embedding"))).cast("long").alias("chars"), F.md5(V.vector_literal(F.col("embedding"))).alias("literal_md5"))
 
 
 def content_checks(spark, sf_dir):
@@ -129,7 +129,8 @@ SQL = {
     "f9_f16_strings": "SELECT event_id, 'Q ' || event_type || '|two \"x\" ' || user_id AS recovered, CASE event_id % 3 WHEN 0 THEN 'a|b, c' WHEN 1 THEN 'a|b|c' ELSE 'a|b;c' END AS listed, CASE WHEN length(k) <= 8 THEN '****' ELSE left(k, 4) || '…' || right(k, 4) END AS masked, event_id % 2 = 0 AS lossy FROM (SELECT *, 'key-' || repeat('x', (event_id % 7)::INTEGER) || user_id AS k FROM events)",
     "v5_j17_snapped_labels": f"WITH {VALUES_SQL}, n AS (SELECT v.doc_id, position, name, 1 - list_cosine_similarity(v.e, l.e) AS d FROM v, l QUALIFY row_number() OVER (PARTITION BY v.doc_id, position ORDER BY round(d, 9), label) = 1), s AS (SELECT doc_id, name, min(position) AS p FROM n WHERE d <= 0.6 GROUP BY 1, 2), x AS (SELECT v.doc_id, name, min(position) AS p FROM v JOIN l ON lower(value) = lower(name) WHERE v.doc_id NOT IN (SELECT doc_id FROM s) GROUP BY 1, 2), h AS (SELECT * FROM s UNION ALL SELECT * FROM x) {LIST_SQL}",
     "d15_taxonomy_labels": f"WITH {VALUES_SQL}, h AS (SELECT v.doc_id, name, min(position) AS p FROM v JOIN l ON lower(value) = lower(name) GROUP BY 1, 2) {LIST_SQL}",
-    "d10_d11_embedding_input": f"WITH {LIBRARY_SQL.strip()} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN left('About ' || original_filename || ' ' || repeat(source_type, 60), 240) || chr(10) || chr(10) ELSE '' END || left(text, 100)) AS input_md5, CASE WHEN doc_id % 3 = 0 AND length(trim(left(text, (doc_id % 40)::INTEGER), ' ')) >= 20 THEN 'detected' ELSE language END AS language FROM library",
+    "v10_vector_literal": "SELECT vec_id, length(l) AS chars, md5(l) AS literal_md5 FROM (SELECT vec_id, '[' || array_to_string(list_transform(embedding::DOUBLE[], lambda x: format('{:.8f}', x)), ',') || ']' AS l FROM embeddings)",
+    "d10_d11_embedding_input": f"WITH {LIBRARY_SQL.strip()} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN left('About ' || original_filename || ' ' || repeat(source_type, 60), 240) || chr(10) || chr(10) ELSE '' END || text) AS input_md5, CASE WHEN doc_id % 3 = 0 AND length(trim(text, ' ')) >= 20 THEN 'detected' ELSE language END AS language FROM library",
     "s2_s4_content_checks": f"WITH {LIBRARY_SQL.strip()} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN false ELSE true END AS valid, CASE WHEN doc_id % 5 <> 0 THEN original_filename END AS filename, CASE WHEN doc_id % 5 = 0 THEN 'application/octet-stream' ELSE ['application/pdf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'text/plain', 'text/markdown'][doc_id % 4 + 1] END AS mime_type FROM library",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "q6_folded_state": "WITH s AS (SELECT user_id, count(*) AS n, max(event_id) AS last, max(event_id) FILTER (event_type <> 'error') AS ok FROM events GROUP BY 1) SELECT s.user_id, n, (SELECT count(*) FROM events e WHERE e.user_id = s.user_id AND e.event_id > coalesce(ok, -1)) AS errors, last FROM s",

@@ -74,9 +74,9 @@ def knn_topk(spark, sf_dir):
 
 
 def knn_scoped(spark, sf_dir):
-    """Of the 50 nearest over all labels, those of the query's label, as the SQL has it; knn_in_scope searches a label by itself."""
+    """How many of a label are among the 50 nearest of the query's own label, and how far they reach: each label is searched by itself."""
     queries, rows = vectors(spark, sf_dir)
-    found = knn.nearest(queries, rows, 50).join(rows.select("doc_id", "label"), "doc_id").join(queries.select("query_id", F.col("label").alias("q_label")), "query_id").where("label = q_label")
+    found = knn.nearest(queries, rows, 50, scope="label")
     return found.groupBy("query_id").agg(F.count("*").alias("n_same_label"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.max("distance"), 6).alias("farthest"))
 
 
@@ -199,12 +199,18 @@ GATE_SQL = f"""
 WITH {FUSED_SQL.strip()[5:]}, {RERANK_SQL}, {RELEVANT_SQL}, {CONTEXT_SQL},
 ev AS (SELECT query_id, count(*) FILTER (relevant) AS n_relevant, string_agg(coalesce(text, ''), chr(10) ORDER BY new_rank) FILTER (relevant) AS evidence FROM gate GROUP BY query_id),
 named AS (
-  SELECT q.query_id, unnest(regexp_extract_all(q.text, '\\b((?:(?:[A-Z][A-Za-z0-9''’.-]*|\\d{{4}})\\s+){{1,7}}(?:Act|Bill|Regulations?|Standard|Framework|Policy|Plan))\\b', 1)) AS name FROM questions q
+  SELECT q.query_id, unnest(range(1, 1 + len(names))) AS nth, unnest(names) AS name FROM (SELECT query_id, regexp_extract_all(q.text, '\\b((?:(?:[A-Z][A-Za-z0-9''’.-]*|\\d{{4}})\\s+){{1,7}}(?:Act|Bill|Regulations?|Standard|Framework|Policy|Plan))\\b', 1) AS names FROM questions q) q
+),
+unsupported AS (
+  SELECT query_id, arg_min(name, nth) AS name FROM named LEFT JOIN ev USING (query_id) LEFT JOIN ctx USING (query_id)
+  WHERE len(list_filter({TERMS_SQL.format("name")}, lambda t: NOT list_contains(string_split('{" ".join(X.GENERIC_INSTRUMENT_TERMS)}', ' '), t) AND NOT list_contains({TERMS_SQL.format("concat_ws(chr(10), context, evidence)")}, t))) > 0
+  GROUP BY query_id
 ),
 r AS (
   SELECT q.query_id, CASE WHEN coalesce(n_relevant, 0) = 0 THEN '{evidence.LOW_RELEVANCE}'
+    WHEN name IS NOT NULL THEN 'The retrieved passages do not mention the explicitly named instrument "' || name || '".'
     WHEN length(trim(coalesce(context, ''), ' ')) < 200 THEN '{evidence.SHORT_CONTEXT}' END AS reason
-  FROM questions q LEFT JOIN ev USING (query_id) LEFT JOIN ctx USING (query_id)
+  FROM questions q LEFT JOIN ev USING (query_id) LEFT JOIN ctx USING (query_id) LEFT JOIN unsupported USING (query_id)
 )
 SELECT query_id, reason IS NULL AS sufficient, reason FROM r"""
 
@@ -275,10 +281,13 @@ SQL = {
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9), e.vec_id)::INTEGER AS rank
   FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 20""",
     "v3_knn_scoped": """WITH t AS (SELECT q.vec_id AS query_id, q.label AS ql, e.label AS el, 1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d, e.vec_id AS doc_id
-  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(d, 9), e.vec_id) <= 50)
-  SELECT query_id, count(*) AS n_same_label, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest FROM t WHERE ql = el GROUP BY query_id""",
-    "v9_vector_checks": """SELECT vec_id AS doc_id, len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x))) AS valid, false AS valid_63,
-  round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, 2.0::DOUBLE AS to_opposite, 0.0::DOUBLE AS to_zero FROM embeddings""",
+  FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(d, 9), e.vec_id) <= 50)
+  SELECT query_id, count(*) AS n_same_label, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest FROM t GROUP BY query_id""",
+    "v3_knn_in_scope": """SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9), e.vec_id)::INTEGER AS rank
+  FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0 QUALIFY rank <= 20""",
+    "v9_vector_checks": """SELECT vec_id AS doc_id, len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x))) AS valid, len(embedding) = 63 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x))) AS valid_63,
+  round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, round(1 - list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: -x)), 6) AS to_opposite, list_inner_product(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: x * 0)) AS to_zero FROM embeddings""",
     "rrf_fusion": FUSED_SQL + " SELECT query_id, doc_id, round(distance, 6) AS distance, round(bm25_score, 6) AS bm25_score, round(rrf, 9) AS rrf, rank::INTEGER AS rank FROM filled",
     "r4_rerank": f"{FUSED_SQL}, {RERANK_SQL} SELECT query_id, doc_id, round(reranker_score, 6) AS reranker_score, new_rank::INTEGER AS new_rank FROM top6",
     "e3_evidence_chunks": f"{FUSED_SQL}, {RERANK_SQL}, {RELEVANT_SQL} SELECT query_id, doc_id, coalesce(matches, 0)::BIGINT AS matches, round(coverage, 6) AS coverage, relevant FROM gate",
