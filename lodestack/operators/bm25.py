@@ -1,6 +1,6 @@
 """Okapi BM25 over a corpus for a table of queries, set-based.
 
-Only terms that some query has leave the tokenizing stage: corpus tokens meet the query vocabulary before any shuffle.
+The corpus is read once: its tokens meet the query vocabulary before any shuffle, and postings and lengths are written and shared.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import keyword_tokens
+from lodestack.storage import keep
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -17,33 +18,35 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(keyword_tokens(F.col("text")))).alias("term"))
 
 
-def term_frequencies(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(scope, doc_id, dl, term, tf) of corpus(scope, doc_id, text); only terms of vocabulary(term), if it is given."""
+def postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(scope, doc_id, dl, term, tf) of corpus(scope, doc_id, text) for the terms of vocabulary(term), and a row of null term for each document.
+
+    The corpus is read and cut into tokens once; tokens outside the vocabulary go before the first shuffle.
+    """
     tokens = corpus.select("scope", "doc_id", keyword_tokens(F.col("text")).alias("tokens"))
-    rows = tokens.select("scope", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if vocabulary is not None:
-        rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    rows = tokens.select("scope", "doc_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    known = vocabulary.select("term").distinct().withColumn("known", F.lit(True))
+    rows = rows.join(known, "term", "left").where("known or term is null")
     return rows.groupBy("scope", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def scope_stats(corpus: DataFrame) -> DataFrame:
-    """(scope, n_docs, avgdl); documents without tokens count."""
-    lengths = corpus.select("scope", F.size(keyword_tokens(F.col("text"))).alias("dl"))
-    return lengths.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def term_frequencies(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    return postings(corpus, vocabulary).where("term is not null")
 
 
 def scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(scope, query_id, doc_id, bm25_score), positive only, of corpus(scope, doc_id, text) and queries(query_id, text).
 
-    Statistics are those of the scope. Distinct query terms count once. Null texts count as empty.
+    Statistics are those of the scope; documents without tokens count. Distinct query terms count once. Null texts count as empty.
     """
-    terms = query_terms(queries)
-    tf = term_frequencies(corpus, terms)
-    df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    idf = df.join(scope_stats(corpus), "scope").withColumn("idf", F.ln(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    terms = keep(query_terms(queries), "bm25-terms")
+    found = keep(postings(corpus, terms), "bm25-postings")
+    tf = found.where("term is not null")
+    stats = found.where("term is null").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    idf = tf.groupBy("scope", "term").agg(F.count("*").alias("df")).join(stats, "scope").withColumn("idf", F.ln(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = tf.join(idf, ["scope", "term"]).withColumn("weight", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    found = weighed.join(terms, "term").groupBy("scope", "query_id", "doc_id").agg(F.sum("weight").alias("bm25_score"))
-    return found.where("bm25_score > 0")
+    summed = weighed.join(terms, "term").groupBy("scope", "query_id", "doc_id").agg(F.sum("weight").alias("bm25_score"))
+    return summed.where("bm25_score > 0")
 
 
 def top(scored: DataFrame, k: int, score: str = "bm25_score", by=("scope", "query_id")) -> DataFrame:

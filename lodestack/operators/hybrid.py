@@ -36,7 +36,8 @@ def backfill_distances(fused: DataFrame, queries: DataFrame, corpus: DataFrame)
     from lodestack.functions.vectors import cosine_distance
 
     q = queries.select("query_id", F.col("vector").alias("q_vector"))
-    c = corpus.select("doc_id", F.col("vector").alias("c_vector"))
+    wanted = fused.where("distance is null").select("doc_id").distinct()
+    c = corpus.select("doc_id", F.col("vector").alias("c_vector")).join(wanted, "doc_id", "left_semi")
     out = fused.join(q, "query_id", "left").join(c, "doc_id", "left")
     return out.withColumn("distance", F.coalesce("distance", cosine_distance(F.col("q_vector"), F.col("c_vector")), F.lit(1.0))).drop("q_vector", "c_vector")
 

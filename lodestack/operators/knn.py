@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestack.storage import keep
+
 BLOCK_ROWS = 4096
 
 
@@ -56,15 +58,21 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, max_distance: float |
                 q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
                 distance = 1 - np.divide(q @ c.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                order = np.lexsort((np.broadcast_to(ids, distance.shape), np.round(distance, 9)), axis=1)[:, :k]
-                found = np.take_along_axis(distance, order, 1)
-                out = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "doc_id": ids[order].ravel(), "distance": found.ravel()})
+                rounded, most = np.round(distance, 9), min(k, len(ids)) - 1
+                # all that are no farther than the k-th; only those are put in order
+                query, at = np.nonzero(rounded <= np.partition(rounded, most, axis=1)[:, most : most + 1])
+                order = np.lexsort((ids[at], rounded[query, at], query))
+                query, at = query[order], at[order]
+                first = np.arange(len(query)) - np.searchsorted(query, query) < k
+                query, at = query[first], at[first]
+                out = pd.DataFrame({"query_id": q_ids[query], "doc_id": ids[at], "distance": distance[query, at]})
                 yield out if max_distance is None else out[out["distance"] <= max_distance]
 
-    left = _packed(queries, "query_id", "vector", block_rows, scope).withColumnsRenamed({"scope": "q_scope", "ids": "q_ids", "vectors": "q_vectors", "dims": "q_dims"})
-    right = _packed(corpus, "doc_id", "vector", block_rows, scope)
-    # block rows against block rows: a stated query set against all rows
-    pairs = left.crossJoin(right).where("q_dims = dims and q_scope = scope")
+    # packed and written once; pairs of block numbers meet on scope and dimensions, then fetch their blocks
+    left = keep(_packed(queries, "query_id", "vector", block_rows, scope).withColumn("left_id", F.monotonically_increasing_id()), "knn-queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    right = keep(_packed(corpus, "doc_id", "vector", block_rows, scope).withColumn("right_id", F.monotonically_increasing_id()), "knn-corpus")
+    pairs = left.select("scope", "dims", "left_id").join(right.select("scope", "dims", "right_id"), ["scope", "dims"]).select("left_id", "right_id")
+    pairs = pairs.join(left.select("left_id", "q_ids", "q_vectors"), "left_id").join(right.select("right_id", "dims", "ids", "vectors"), "right_id")
     candidates = pairs.mapInPandas(best, "query_id long, doc_id long, distance double")
     order = W.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
