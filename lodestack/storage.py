@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one machine)
-    is a temporary folder made, once for each application.
+    A cluster names it in spark.checkpoint.dir. Where that is unset, a local master (tests, one machine) gets
+    a temporary folder, once for each application; on a cluster that is an error, as its machines share no such folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
