@@ -59,32 +59,32 @@ class Vectors:
         return {"terms": self.terms, "idf": self.idf}
 
     def __getattr__(self, name: str):
-        # the table is made where it is first used: in the tasks
-        if name != "memo":
+        # the tables are made where they are first used: in the tasks
+        if name not in ("memo", "last"):
             raise AttributeError(name)
         at = {t: k for k, t in enumerate(self.terms.to_pylist())}
+        self.last = np.zeros(len(at) + 1, np.int64)
         unknown = len(at)
         self.memo = Memo(lambda word: (at.get(word, unknown), *(at[t] for t in terms_of(word)[1:] if t in at)), MEMO_ENTRIES)
-        return self.memo
+        return self.__dict__[name]
 
-    def present(self, text: str) -> list[int]:
-        """The known terms of a text, in no order."""
-        memo = self.memo
-        found = set().union(*[memo[w] for w in set(WORD.findall(text.lower()))])
-        found.discard(len(self.terms))
-        return list(found)
+    def present(self, text: str) -> np.ndarray:
+        """The known terms of a text, in no order, some more than once; and, if it has unknown words, the number after the last."""
+        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, set(WORD.findall(text.lower())))), np.int64)
 
     def frequencies(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known terms, rising, how often each occurs, and how often each unknown word does."""
-        counts, memo = Counter(WORD.findall(text.lower())), self.memo
-        found = [memo[w] for w in counts]
+        """Known terms, how often each occurs, and how often each unknown word does."""
+        counts = Counter(WORD.findall(text.lower()))
+        found = list(map(self.memo.__getitem__, counts))
         ids = np.fromiter(chain.from_iterable(found), np.int64)
         times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)))
-        order = np.argsort(ids, kind="stable")
-        ids, times = ids[order], times[order]
-        known = int(np.searchsorted(ids, len(self.terms)))
-        first = np.flatnonzero(np.diff(ids[:known], prepend=-1))
-        return ids[first], np.add.reduceat(times[:known], first) if len(first) else np.zeros(0), times[known:]
+        # each term is counted where it stands last
+        place = np.arange(len(ids))
+        self.last[ids] = place
+        last = self.last[ids]
+        known = ids < len(self.terms)
+        own = known & (last == place)
+        return ids[own], np.bincount(last, times, len(ids))[own], times[~known]
 
     def weighed(self, ids: np.ndarray, times: np.ndarray, lost: np.ndarray | None = None) -> np.ndarray:
         """The weights of known terms in the unit vector of all."""
@@ -93,7 +93,7 @@ class Vectors:
         return weights / max(float(np.sqrt(weights @ weights + rest @ rest)), 1e-300)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms, rising, and their weights in the unit vector of all terms. A text without words has none."""
+        """Known terms and their weights in the unit vector of all terms. A text without words has none."""
         ids, times, lost = self.frequencies(text)
         return ids, self.weighed(ids, times, lost)
 
@@ -111,7 +111,7 @@ class BlockMaxIndex:
         sizes = np.array([len(i) for i, _ in vectors], np.int64)
         term = np.concatenate([i for i, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         order = np.argsort(term, kind="stable")
-        self.example = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
+        self.example = np.repeat(np.arange(self.n), sizes)[order]
         self.weight = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
         self.offset = np.searchsorted(term[order], np.arange(n_terms + 1)).astype(np.int64)
         length = np.diff(self.offset)
@@ -287,6 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 n += 1
+                # a term that stands there twice is counted once
                 seen[counting.value.present(text)] += 1
         seen[-1] = n
         at = np.flatnonzero(seen)
