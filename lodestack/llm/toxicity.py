@@ -14,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +64,20 @@ class Vectors:
         at = {t: k for k, t in enumerate(self.terms.to_pylist())}
         self.last = np.zeros(len(at) + 1, np.int64)
         unknown = len(at)
-        self.memo = Memo(lambda word: (at.get(word, unknown), *(at[t] for t in terms_of(word)[1:] if t in at)), MEMO_ENTRIES)
+        # numbers as bytes: a text's are joined and read as one array
+        self.memo = Memo(lambda word: np.array([at.get(word, unknown), *(at[t] for t in terms_of(word)[1:] if t in at)], np.int32).tobytes(), MEMO_ENTRIES)
         return self.__dict__[name]
 
     def present(self, text: str) -> np.ndarray:
         """The known terms of a text, in no order, some more than once; and, if it has unknown words, the number after the last."""
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, set(WORD.findall(text.lower())))), np.int64)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, set(WORD.findall(text.lower())))), np.int32)
 
     def frequencies(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known terms, how often each occurs, and how often each unknown word does."""
         counts = Counter(WORD.findall(text.lower()))
         found = list(map(self.memo.__getitem__, counts))
-        ids = np.fromiter(chain.from_iterable(found), np.int64)
-        times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)))
+        ids = np.frombuffer(b"".join(found), np.int32)
+        times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)) // 4)
         # each term is counted where it stands last
         place = np.arange(len(ids))
         self.last[ids] = place
