@@ -30,6 +30,8 @@ BEGINNINGS = (4, 5, 6)
 MEMO_ENTRIES = 200_000
 #: Texts that are searched for at once.
 TEXTS = 32
+#: Postings that are added up at once, about.
+CHUNK = 16_384
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ class BlockMaxIndex:
         sizes = np.array([len(i) for i, _ in vectors], np.int64)
         term = np.concatenate([i for i, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         order = np.argsort(term, kind="stable")
-        self.example = np.repeat(np.arange(self.n), sizes)[order]
+        self.example = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
         self.weight = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
         self.offset = np.searchsorted(term[order], np.arange(n_terms + 1)).astype(np.int64)
         length = np.diff(self.offset)
@@ -128,14 +130,31 @@ class BlockMaxIndex:
 
     def _scores(self, queries: np.ndarray, weights: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
         """Add what the heavy terms of these queries give to the examples of these blocks; row q of weights and out is a query's."""
+        every = len(queries) == len(weights)
         for b in blocks.tolist():
-            out[queries, b] += weights[queries] @ self.by_block[b]
+            if every:
+                out[:, b] += weights @ self.by_block[b]
+            else:
+                out[queries, b] += weights[queries] @ self.by_block[b]
 
     def _light(self, idx: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the other terms give to every example; so many postings at a time that they stay in the processor's cache."""
         start = self.offset[idx]
         n = self.offset[idx + 1] - start
-        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        out = np.bincount(self.example[at], np.repeat(weights, n) * self.weight[at], minlength=self.blocks * self.block)
+        ends = np.cumsum(n)
+        shift = start - ends + n
+        out = np.zeros(self.blocks * self.block)
+        first = done = 0
+        for last in np.searchsorted(ends, np.arange(CHUNK, (int(ends[-1]) if len(ends) else 0) + CHUNK, CHUNK)).tolist():
+            last = min(last + 1, len(idx))
+            if first < last:
+                own, until = n[first:last], int(ends[last - 1])
+                at = np.repeat(shift[first:last], own)
+                at += np.arange(done, until)
+                gives = np.repeat(weights[first:last], own)
+                gives *= self.weight[at]
+                out += np.bincount(self.example[at], gives, minlength=len(out))
+                first, done = last, until
         return out.reshape(self.blocks, self.block)
 
     def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
