@@ -29,7 +29,7 @@ WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6)
 MEMO_ENTRIES = 200_000
 #: Texts that are searched for at once.
-TEXTS = 32
+TEXTS = 128
 #: Postings that are added up at once, about.
 CHUNK = 16_384
 
