@@ -11,6 +11,7 @@ Examples are a bounded sample of labelled rows; document frequencies come from a
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,6 +51,26 @@ def terms_of(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
 
 
+class Words(dict):
+    """The terms of a word as numbers, in bytes: a text's are joined and read as one array.
+
+    Only words that an example has are remembered, as the others are without end; what a word shares with others of its beginning is looked up.
+    """
+
+    def __init__(self, at: dict[str, int]):
+        super().__init__()
+        self.at = at
+        self.beginnings = Memo(lambda key: np.array([at[t] for t in terms_of(key)[1:] if t in at], np.int32).tobytes(), MEMO_ENTRIES)
+
+    def __missing__(self, word: str) -> bytes:
+        # no beginning is longer than the longest: one more letter stands for all that follow
+        own = self.at.get(word, len(self.at))
+        value = own.to_bytes(4, sys.byteorder) + self.beginnings[word if len(word) <= BEGINNINGS[-1] else word[: BEGINNINGS[-1]] + "*"]
+        if own < len(self.at):
+            self[word] = value
+        return value
+
+
 class Vectors:
     """Unit TF-IDF vectors over the terms of all examples, given in order; idf[k] weighs term k and idf[-1] the words that no example has."""
 
@@ -65,9 +86,7 @@ class Vectors:
             raise AttributeError(name)
         at = {t: k for k, t in enumerate(self.terms.to_pylist())}
         self.last = np.zeros(len(at) + 1, np.int64)
-        unknown = len(at)
-        # numbers as bytes: a text's are joined and read as one array
-        self.memo = Memo(lambda word: np.array([at.get(word, unknown), *(at[t] for t in terms_of(word)[1:] if t in at)], np.int32).tobytes(), MEMO_ENTRIES)
+        self.memo = Words(at)
         return self.__dict__[name]
 
     def present(self, text: str) -> np.ndarray:
