@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestack.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, packing, sharding, simhash, toxicity, wordpiece
+from lodestack.llm import bpe, chat_format, embedding_dedup, exact_dedup, langid, mixing, packing, sharding, simhash, toxicity, wordpiece
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
+    "op11_chat_format": chat_format.op11_chat_format,
 }
 
 SQL = {
     "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_chat_format": chat_format.OP11_SQL,
 }
