@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestack.llm import bpe, chat_format, embedding_dedup, exact_dedup, langid, mixing, packing, prefix_trie, sharding, simhash, toxicity, wordpiece
+from lodestack.llm import bpe, chat_format, collocations, embedding_dedup, exact_dedup, langid, mixing, packing, prefix_trie, sharding, simhash, toxicity, wordpiece
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_chat_format": chat_format.op11_chat_format,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op10_mixing": mixing.OP10_SQL,
     "op11_chat_format": chat_format.OP11_SQL,
     "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
