@@ -7,14 +7,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators import automaton, facets
+from lodestack.storage import keep
+
 # The phrases that ask for fresh sources, the wordings that name a source language, and other names of regions.
-FRESHNESS = "latest|most recent|current policy|currently valid|up to date|up-to-date|最新|近期|当前政策|现行|时效性"
-SOURCES = "(?:documents?|files?|sources?|materials?)"
+FRESHNESS = ("latest", "most recent", "current policy", "currently valid", "up to date", "up-to-date", "最新", "近期", "当前政策", "现行", "时效性")
 LANGUAGES = {
-    "English": rf"\b{SOURCES}.{{0,50}}\bin english\b|\benglish[- ]language {SOURCES}\b|\benglish {SOURCES}\b|英文文件|英文资料|英文来源",
-    "Chinese": rf"\b{SOURCES}.{{0,50}}\bin chinese\b|\bchinese[- ]language {SOURCES}\b|\bchinese {SOURCES}\b|中文文件|中文资料|中文来源",
-    "French": rf"\b{SOURCES}.{{0,50}}\bin french\b|\bfrench[- ]language {SOURCES}\b|法文文件|法文资料|法文来源",
-    "Spanish": rf"\b{SOURCES}.{{0,50}}\bin spanish\b|\bspanish[- ]language {SOURCES}\b|西班牙语文件|西班牙语资料",
+    "English": (
+        r"\b(?:documents?|files?|sources?|materials?).{0,50}\bin english\b",
+        r"\benglish[- ]language (?:documents?|files?|sources?|materials?)\b",
+        r"\benglish (?:documents?|files?|sources?|materials?)\b",
+        "英文文件",
+        "英文资料",
+        "英文来源",
+    ),
+    "Chinese": (
+        r"\b(?:documents?|files?|sources?|materials?).{0,50}\bin chinese\b",
+        r"\bchinese[- ]language (?:documents?|files?|sources?|materials?)\b",
+        r"\bchinese (?:documents?|files?|sources?|materials?)\b",
+        "中文文件",
+        "中文资料",
+        "中文来源",
+    ),
+    "French": (
+        r"\b(?:documents?|files?|sources?|materials?).{0,50}\bin french\b",
+        r"\bfrench[- ]language (?:documents?|files?|sources?|materials?)\b",
+        "法文文件",
+        "法文资料",
+        "法文来源",
+    ),
+    "Spanish": (
+        r"\b(?:documents?|files?|sources?|materials?).{0,50}\bin spanish\b",
+        r"\bspanish[- ]language (?:documents?|files?|sources?|materials?)\b",
+        "西班牙语文件",
+        "西班牙语资料",
+    ),
 }
 REGION_ALIASES = {
     "Australia": ("澳大利亚", "澳洲"),
@@ -28,7 +55,6 @@ REGION_ALIASES = {
     "United States": ("美国", "美利坚合众国"),
 }
 YEAR = "((?:19|20)[0-9]{2})"
-DIMENSIONS = ("policy_areas", "country_regions", "source_organisations", "languages", "tags")
 
 
 def years(question: Column, pattern: str) -> Column:
@@ -55,47 +81,53 @@ def year_bounds(question: Column) -> Column:
     )
 
 
-def mentions(question: Column, label: Column) -> Column:
-    """A label of four characters or more in the question, in any case; or, for a region, another of its names."""
-    low = F.lower(question)
-    aliases = reduce(lambda acc, item: acc.when(label == item[0], F.concat_ws("\n", *[F.lit(a) for a in item[1]])), REGION_ALIASES.items(), F.when(F.lit(False), F.lit("")))
-    named = F.exists(F.split(aliases, "\n"), lambda a: F.contains(low, F.lower(a)))
-    clean = F.trim(label)
-    return (F.length(clean) >= 4) & (F.contains(low, F.lower(clean)) | F.coalesce(named, F.lit(False)))
+def label_patterns(labels: DataFrame, value: str = "value") -> DataFrame:
+    """(label, pattern) of labels, in lower case: each label of four characters or more, and a region's other names."""
+    label = F.trim(value)
+    aliases = reduce(lambda acc, item: acc.when(label == item[0], F.array(*[F.lower(F.lit(a)) for a in item[1]])), REGION_ALIASES.items(), F.when(F.lit(False), F.array(F.lit(""))))
+    names = F.concat(F.array(F.lower(label)), F.coalesce(aliases, F.array().cast("array<string>")))
+    return labels.select(label.alias("label"), F.explode(F.when(F.length(label) >= 4, names)).alias("pattern"))
+
+
+def unique(values: Column) -> Column:
+    """The first of values equal but for case and outer spaces, in order; blanks and nulls go."""
+    clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 0)
+    return F.filter(clean, lambda v, i: F.array_position(F.transform(clean, lambda x: F.lower(x)), F.lower(v)) == i + 1)
+
 
+#: What may be given beside a question: one value of each kind, some tags, and years.
+GIVEN = {"policy_area": "string", "country_or_region": "string", "source_organisation": "string", "language": "string", "tags": "array<string>", "published_year_from": "int", "published_year_to": "int"}
 
-def infer(questions: DataFrame, labels: DataFrame, this_year: int) -> DataFrame:
-    """Filters for questions(query_id, question): the five arrays, year_from, year_to, freshness.
 
-    labels(dimension, value) holds the distinct values of the catalogue; they are few (facets), and meet the questions in a nested loop.
+def infer(questions: DataFrame, labels: DataFrame, this_year: int, given: DataFrame | None = None) -> DataFrame:
+    """Filters for questions(query_id, question): the five lists, year_from, year_to, freshness.
+
+    labels(dimension, value) holds the distinct values of the catalogue, which are few (facets); one automaton finds those that a question names. given(query_id, and
+    any of GIVEN) has what was chosen outright: it stands before what the question names, and a given year, either, leaves the question's years unread. Freshness sets the
+    first year where there is none.
     """
     q = F.col("question")
-    hits = questions.join(labels, mentions(q, F.col("value"))).groupBy("query_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("dimension") == d, F.trim("value")))).alias(d) for d in DIMENSIONS[:3]])
+    named = labels.where(F.col("dimension").isin(*list(facets.DIMENSIONS)[:3]))
+    hits = automaton.contained(questions, ["query_id"], F.lower("question"), label_patterns(named).distinct())
+    hits = hits.join(named.select("dimension", F.trim("value").alias("label")).distinct(), "label").groupBy("query_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("dimension") == d, F.col("label")))).alias(d) for d in list(facets.DIMENSIONS)[:3]])
     empty = F.array().cast("array<string>")
-    languages = F.array_compact(F.array(*[F.when(F.lower(q).rlike(p), F.lit(name)) for name, p in LANGUAGES.items()]))
-    tags = F.transform(F.regexp_extract_all(q, F.lit(r"(?i)(?:\btag|标签)\s*[:：]\s*([\p{L}\p{N}_ -]+)"), F.lit(1)), lambda t: F.trim(t))
-    fresh = F.lower(q).rlike(FRESHNESS)
+    languages = F.array_compact(F.array(*[F.when(F.lower(q).rlike("|".join(p)), F.lit(name)) for name, p in LANGUAGES.items()]))
+    tags = F.regexp_extract_all(q, F.lit(r"(?i)(?:\btag|标签)\s*[:：]\s*([\p{L}\p{N}_ -]+)"), F.lit(1))
+    fresh = F.lower(q).rlike("|".join(FRESHNESS))
     out = questions.join(hits, "query_id", "left").withColumn("y", year_bounds(q))
-    return out.select("query_id", *[F.coalesce(d, empty).alias(d) for d in DIMENSIONS[:3]], languages.alias("languages"), tags.alias("tags"), F.when(fresh & F.col("y.year_from").isNull(), F.lit(this_year - 5)).otherwise(F.col("y.year_from")).alias("year_from"), F.col("y.year_to").alias("year_to"), fresh.alias("freshness"))
+    have = set() if given is None else set(given.columns)
+    if given is not None:
+        out = out.join(given.select("query_id", *[F.col(c).alias(f"given_{c}") for c in GIVEN if c in have]), "query_id", "left")
+    own = {c: F.col(f"given_{c}").cast(t) if c in have else F.lit(None).cast(t) for c, t in GIVEN.items()}
+    first = {"policy_areas": F.array(own["policy_area"]), "country_regions": F.array(own["country_or_region"]), "source_organisations": F.array(own["source_organisation"]), "languages": F.array(own["language"]), "tags": F.coalesce(own["tags"], empty)}
+    read = {**{d: F.coalesce(d, empty) for d in list(facets.DIMENSIONS)[:3]}, "languages": languages, "tags": tags}
+    dated = own["published_year_from"].isNotNull() | own["published_year_to"].isNotNull()
+    year_from, year_to = F.when(dated, own["published_year_from"]).otherwise(F.col("y.year_from")), F.when(dated, own["published_year_to"]).otherwise(F.col("y.year_to"))
+    return out.select("query_id", *[unique(F.concat(first[d], read[d])).alias(d) for d in facets.DIMENSIONS], F.when(fresh & year_from.isNull(), F.lit(this_year - 5)).otherwise(year_from).alias("year_from"), year_to.alias("year_to"), fresh.alias("freshness"))
 
 
 def active() -> Column:
-    return reduce(lambda a, b: a | b, [F.size(d) > 0 for d in DIMENSIONS]) | F.col("year_from").isNotNull() | F.col("year_to").isNotNull()
-
-
-def matches() -> Column:
-    """Whether a document (policy_areas, country_region, source_organisation, language, keywords, year as d.*) meets filters f.*.
-
-    Any value within a dimension, all tags, years inclusive; a missing year meets no bound.
-    """
-    low = lambda c: F.transform(c, lambda v: F.lower(v))
-    none = lambda d: F.size(f"f.{d}") == 0
-    same = lambda d, c: none(d) | F.coalesce(F.array_contains(low(f"f.{d}"), F.lower(f"d.{c}")), F.lit(False))
-    areas = none("policy_areas") | F.arrays_overlap(low("f.policy_areas"), low("d.policy_areas"))
-    tags = F.size(F.array_except(low("f.tags"), low("d.keywords"))) == 0
-    from_ok = F.col("f.year_from").isNull() | F.coalesce(F.col("d.year") >= F.col("f.year_from"), F.lit(False))
-    to_ok = F.col("f.year_to").isNull() | F.coalesce(F.col("d.year") <= F.col("f.year_to"), F.lit(False))
-    return areas & same("country_regions", "country_region") & same("source_organisations", "source_organisation") & same("languages", "language") & tags & from_ok & to_ok
+    return reduce(lambda a, b: a | b, [F.size(d) > 0 for d in facets.DIMENSIONS]) | F.col("year_from").isNotNull() | F.col("year_to").isNotNull()
 
 
 def describe() -> Column:
@@ -112,29 +144,29 @@ def notice(description: Column, applied: Column, fallback: Column, fresh: Column
     return F.when(~applied, None).when(~fallback, F.concat(F.lit("Applied document metadata filters: "), description, F.lit("."))).when(fresh, stale).otherwise(wide)
 
 
-def match_counts(filters: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, applied, fallback, n_matched, description, notice): how many documents each query's filters leave, and the fallback if none."""
-    found = filters.alias("f").join(docs.alias("d"), matches()).groupBy("f.query_id").agg(F.count("*").alias("n"))
-    out = filters.withColumn("description", describe()).withColumn("applied", active()).join(found, "query_id", "left").withColumn("n_matched", F.coalesce("n", F.lit(0)))
+def match_counts(filters: DataFrame, docs: DataFrame | facets.FacetIndex) -> DataFrame:
+    """(query_id, applied, fallback, n_matched, description, notice): how many documents each query's filters leave, and the fallback if none.
+
+    Filters that ask for nothing leave all documents. docs is a facet index, or what one is made of.
+    """
+    filters = keep(filters, "filters")
+    index = docs if isinstance(docs, facets.FacetIndex) else facets.FacetIndex(docs)
+    found = facets.hits(filters, index).groupBy("query_id").agg(F.count("*").alias("n"))
+    out = filters.withColumn("description", describe()).withColumn("applied", active()).join(found, "query_id", "left").withColumn("n_matched", F.coalesce("n", F.when(F.col("applied"), 0).otherwise(F.lit(index.docs.count()))))
     fallback = F.col("applied") & (F.col("n_matched") == 0)
     return out.select("query_id", "applied", fallback.alias("fallback"), "n_matched", "description", notice(F.col("description"), F.col("applied"), fallback, F.col("freshness")).alias("notice"))
 
 
-def scope(filters: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id) in scope: the matching documents, or all where the filters leave none or there are none."""
-    hit = filters.alias("f").join(docs.alias("d"), matches()).select("f.query_id", "d.doc_id")
-    open_ = filters.select("query_id").join(hit.select("query_id").distinct(), "query_id", "left_anti")
-    return hit.unionByName(open_.join(docs.select("doc_id"), F.lit(True)))
-
-
 def missing_regions(asked: DataFrame, cited: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, region) of asked(query_id, region) without a cited document of the region and without a cited text that names it.
 
-    cited(query_id, doc_id, text), docs(doc_id, country_region).
+    cited(query_id, doc_id, text), docs(doc_id, country_region). Each cited text is read once, for all regions asked for.
     """
     of_region = cited.join(docs.select("doc_id", F.col("country_region").alias("region")), "doc_id").select("query_id", "region").distinct()
-    named = asked.join(cited.select("query_id", "text"), "query_id").where(mentions(F.col("text"), F.col("region"))).select("query_id", "region").distinct()
-    return asked.join(of_region, ["query_id", "region"], "left_anti").join(named, ["query_id", "region"], "left_anti")
+    texts = cited.join(asked.select("query_id").distinct(), "query_id", "left_semi")
+    named = automaton.contained(texts, ["query_id"], F.lower("text"), label_patterns(asked.select("region").distinct(), "region")).distinct()
+    rows = asked.join(of_region, ["query_id", "region"], "left_anti")
+    return rows.join(named, (rows["query_id"] == named["query_id"]) & (F.trim(rows["region"]) == named["label"]), "left_anti")
 
 
 def supplement(kept: DataFrame, extra: DataFrame) -> DataFrame:

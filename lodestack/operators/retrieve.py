@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions.vectors import cosine_distance
-from lodestack.operators import evidence, filters, knn
+from lodestack.operators import evidence, facets, filters, knn
 from lodestack.storage import keep
 
 
@@ -28,23 +28,16 @@ def nearest_in_scope(queries: DataFrame, corpus: DataFrame, scope: DataFrame, k:
     return distances(known, queries, corpus).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, docs: DataFrame | facets.FacetIndex, k: int) -> DataFrame:
     """nearest_in_scope where filters leave documents; where they leave none, or there are none, all documents in blocks."""
-    hit = keep(wanted.alias("f").join(docs.alias("d"), filters.matches() & ~_open()).select("f.query_id", "d.doc_id"), "answer-scope")
+    index = docs if isinstance(docs, facets.FacetIndex) else facets.FacetIndex(docs)
+    hit = keep(facets.hits(keep(wanted, "answer-wanted"), index), "answer-scope")
     rest = queries.join(wanted.select("query_id"), "query_id", "left_semi").join(hit.select("query_id").distinct(), "query_id", "left_anti")
-    everywhere = knn.nearest(rest, corpus.join(docs.select("doc_id"), "doc_id", "left_semi"), k)
+    everywhere = knn.nearest(rest, corpus.join(index.docs.select("doc_id"), "doc_id", "left_semi"), k)
     columns = ["query_id", "doc_id", "distance", "rank"]
     return nearest_in_scope(queries, corpus, hit, k).select(*columns).unionByName(everywhere.select(*columns))
 
 
-def _open():
-    """Whether a row of filters, as f, sets none."""
-    from functools import reduce
-
-    arrays = reduce(lambda a, b: a & b, [F.size(f"f.{d}") == 0 for d in filters.DIMENSIONS])
-    return arrays & F.col("f.year_from").isNull() & F.col("f.year_to").isNull()
-
-
 def _decide(asked: DataFrame, found: DataFrame, docs: DataFrame, max_distance: float, budget: int) -> tuple[DataFrame, DataFrame]:
     rows = found.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "question"), "query_id").withColumn("reranker_score", F.lit(None).cast("double"))
     rows = keep(rows, "answer-rows")

@@ -14,8 +14,9 @@ from lodestack.operators import chat as H
 from lodestack.operators import dedup as D
 from lodestack.operators import evaluation as E
 from lodestack.operators import filters as M
-from lodestack.operators import knn
+from lodestack.operators import facets, knn
 from lodestack.plans.library import LIBRARY_SQL, library, table
+from lodestack.storage import keep
 
 PHRASES = (
     "Use ASIA documents published before 2016.",
@@ -45,7 +46,7 @@ def inferred(spark, sf_dir):
 
 
 def filter_inference(spark, sf_dir):
-    shown = [F.array_join(d, ",").alias(d) for d in M.DIMENSIONS]
+    shown = [F.array_join(d, ",").alias(d) for d in facets.DIMENSIONS]
     return inferred(spark, sf_dir).select("query_id", *shown, "year_from", "year_to", "freshness")
 
 
@@ -53,6 +54,23 @@ def filter_application(spark, sf_dir):
     return M.match_counts(inferred(spark, sf_dir), library(spark, sf_dir))
 
 
+def given_filters(spark, sf_dir):
+    """Filters of questions beside which something was chosen, and how many documents they leave; sources are labels too."""
+    items = table(spark, sf_dir, "benchmark")
+    i = F.col("item_id") % 5
+    given = items.select(
+        F.col("item_id").alias("query_id"), F.when(i == 1, F.lit("asia ")).alias("policy_area"), F.when(i == 2, F.lit("nation_5")).alias("country_or_region"),
+        F.when(i == 3, F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string"))).alias("source_organisation"), F.when(i == 4, F.lit("EN")).alias("language"),
+        F.when(i == 4, F.array(F.lit("en"), F.lit(" EN"), F.lit(" "))).alias("tags"), F.when(i == 2, F.lit(2000)).alias("published_year_from"), F.when(i == 4, F.lit(2010)).alias("published_year_to"),
+    )
+    docs = library(spark, sf_dir)
+    sources = docs.select(F.lit("source_organisations").alias("dimension"), F.col("source_organisation").alias("value")).where("value is not null").distinct()
+    found = keep(M.infer(questions(spark, sf_dir), labels(spark, sf_dir).unionByName(sources), 2024, given), "given-filters")
+    counts = M.match_counts(found, docs)
+    shown = [F.array_join(d, ",").alias(d) for d in facets.DIMENSIONS]
+    return found.join(counts, "query_id").select("query_id", *shown, "year_from", "year_to", "freshness", "n_matched", "fallback")
+
+
 def region_coverage(spark, sf_dir):
     """Regions that a question names, with the documents of the same number modulo 40 as what is cited."""
     asked = inferred(spark, sf_dir).select("query_id", F.explode("country_regions").alias("region"))
@@ -246,7 +264,7 @@ def two_stage(spark, sf_dir):
 
 
 QUERIES = {
-    "f3_f7_filter_inference": filter_inference, "p8_p11_filter_application": filter_application, "e10_missing_regions": region_coverage, "e9_region_supplement": region_supplement,
+    "f3_f7_filter_inference": filter_inference, "p8_p11_filter_application": filter_application, "f3_p8_given_filters": given_filters, "e10_missing_regions": region_coverage, "e9_region_supplement": region_supplement,
     "w6_turn_index": turns, "w10_current_turn": current_turn, "w7_history": history, "j5_c3_sessions": session_list, "a9_token_usage": usage, "a10_tool_budget": budgets, "c5_c8_tools_and_route": tool_choice,
     "t8_newest_clicks": newest_clicks, "w8_citation_numbers": citations, "t9_page_log": page_log, "w5_c11_references": references, "c9_trace_summary": traces, "c10_filter_notice": notices, "e14_new_ground": grounds,
     "e15_evidence_texts": evidence_texts, "c2_final_messages": final_messages, "e13_cited_tiers": cited, "f18_web_intent": web_intents, "c7_fallback_action": fallback_actions, "c1_started_turns": started, "c4_transcript": transcripts, "d18_status_view": status_views, "x7_suggestions": suggestions,
@@ -273,7 +291,17 @@ KNN_SQL = """ev AS (SELECT q.vec_id AS case_id, e.vec_id AS doc_id, 1 - list_cos
 M_SQL = "m AS (SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations)"
 SEEN_SQL = "seen AS (SELECT page_id % 10 AS session_id, (page_id // 10) % 3 AS turn, page_id AS position, url, 'Title ' || (page_id % 60) AS title FROM pages)"
 
+# What is chosen beside a question stands first, and what the question names behind it, unless it is the same.
+GIVEN_SQL = """filters AS (SELECT query_id,
+  CASE WHEN g = 1 THEN list_prepend('asia', list_filter(policy_areas, lambda x: lower(x) <> 'asia')) ELSE policy_areas END AS policy_areas,
+  CASE WHEN g = 2 THEN list_prepend('nation_5', list_filter(country_regions, lambda x: lower(x) <> 'nation_5')) ELSE country_regions END AS country_regions,
+  CASE WHEN g = 3 THEN list_prepend('SRC' || (query_id % 20), list_filter(named, lambda x: lower(x) <> 'src' || (query_id % 20))) ELSE named END AS source_organisations,
+  CASE WHEN g = 4 THEN list_prepend('EN', languages) ELSE languages END AS languages, CASE WHEN g = 4 THEN list_prepend('en', list_filter(tags, lambda x: lower(x) <> 'en')) ELSE tags END AS tags,
+  CASE WHEN g = 2 THEN 2000 WHEN g = 4 THEN CASE WHEN freshness THEN 2019 END ELSE year_from END AS year_from, CASE WHEN g = 2 THEN NULL WHEN g = 4 THEN 2010 ELSE year_to END AS year_to, freshness
+  FROM (SELECT *, query_id % 5 AS g, CASE WHEN k = 4 THEN ['src1'] ELSE [] END::VARCHAR[] AS named FROM expected))"""
+
 SQL = {
+    "f3_p8_given_filters": f"WITH {PHRASE_SQL}, {EXPECT_SQL}, {GIVEN_SQL}, {LIBRARY_SQL.strip()}, low AS (SELECT query_id, list_transform(policy_areas, lambda x: lower(x)) AS a, list_transform(country_regions, lambda x: lower(x)) AS c, list_transform(source_organisations, lambda x: lower(x)) AS o, list_transform(languages, lambda x: lower(x)) AS l, list_transform(tags, lambda x: lower(x)) AS t, year_from, year_to FROM filters), n AS (SELECT f.query_id, count(*) AS n FROM low f JOIN library d ON len(a) + len(c) + len(o) + len(l) + len(t) + coalesce(year_from, 0) + coalesce(year_to, 0) > 0 AND (len(a) = 0 OR list_has_any(a, list_transform(d.policy_areas, lambda x: lower(x)))) AND (len(c) = 0 OR list_contains(c, lower(d.country_region))) AND (len(o) = 0 OR list_contains(o, lower(d.source_organisation))) AND (len(l) = 0 OR list_contains(l, lower(d.language))) AND list_has_all(list_transform(d.keywords, lambda x: lower(x)), t) AND (f.year_from IS NULL OR coalesce(d.year >= f.year_from, false)) AND (f.year_to IS NULL OR coalesce(d.year <= f.year_to, false)) GROUP BY 1) SELECT query_id, array_to_string(policy_areas, ',') AS policy_areas, array_to_string(country_regions, ',') AS country_regions, array_to_string(source_organisations, ',') AS source_organisations, array_to_string(languages, ',') AS languages, array_to_string(tags, ',') AS tags, year_from, year_to, freshness, coalesce(n, CASE WHEN len(policy_areas) + len(country_regions) + len(source_organisations) + len(languages) + len(tags) + coalesce(year_from, 0) + coalesce(year_to, 0) = 0 THEN (SELECT count(*) FROM library) ELSE 0 END) AS n_matched, n IS NULL AND len(policy_areas) + len(country_regions) + len(source_organisations) + len(languages) + len(tags) + coalesce(year_from, 0) + coalesce(year_to, 0) > 0 AS fallback FROM filters LEFT JOIN n USING (query_id)",
     "f3_f7_filter_inference": f"WITH {PHRASE_SQL}, {EXPECT_SQL} SELECT query_id, array_to_string(policy_areas, ',') AS policy_areas, array_to_string(country_regions, ',') AS country_regions, '' AS source_organisations, array_to_string(languages, ',') AS languages, array_to_string(tags, ',') AS tags, year_from, year_to, freshness FROM expected",
     "p8_p11_filter_application": f"WITH {PHRASE_SQL}, {EXPECT_SQL}, {LIBRARY_SQL.strip()}, n AS (SELECT f.query_id, count(*) AS n FROM expected f JOIN library d ON {MATCH_SQL} GROUP BY 1), r AS (SELECT f.*, coalesce(n, 0) AS n_matched, k <> 7 AS applied, concat_ws('; ', CASE WHEN len(policy_areas) > 0 THEN 'policy area=' || array_to_string(policy_areas, ', ') END, CASE WHEN len(country_regions) > 0 THEN 'region=' || array_to_string(country_regions, ', ') END, CASE WHEN len(languages) > 0 THEN 'language=' || array_to_string(languages, ', ') END, CASE WHEN len(tags) > 0 THEN 'tag=' || array_to_string(tags, ', ') END, CASE WHEN year_from = year_to THEN 'year=' || year_from END, CASE WHEN year_from IS DISTINCT FROM year_to THEN 'year>=' || year_from END, CASE WHEN year_from IS DISTINCT FROM year_to THEN 'year<=' || year_to END) AS d FROM expected f LEFT JOIN n USING (query_id)), s AS (SELECT *, CASE WHEN d = '' THEN 'none' ELSE d END AS description FROM r) SELECT query_id, applied, applied AND n_matched = 0 AS fallback, n_matched, description, CASE WHEN NOT applied THEN NULL WHEN n_matched > 0 THEN 'Applied document metadata filters: ' || description || '.' WHEN freshness THEN 'No documents matched the requested current/recent filter (' || description || '). The search was expanded to the original document scope; older sources may no longer reflect current policy.' ELSE 'No documents matched the requested metadata filters (' || description || '). The search was expanded to the original document scope, so the returned sources may not satisfy every requested constraint.' END AS notice FROM s",
     "e10_missing_regions": f"WITH {PHRASE_SQL}, {EXPECT_SQL}, {LIBRARY_SQL.strip()}, a AS (SELECT query_id, unnest(country_regions) AS region FROM expected), c AS (SELECT doc_id % 40 AS query_id, country_region, text FROM library) SELECT query_id, region FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = a.query_id AND (c.country_region = a.region OR contains(lower(c.text), lower(a.region))))",

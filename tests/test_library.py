@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
-from lodestack.operators import catalogue, chat, dedup, etl, evaluation, filters, models, state
+from lodestack.operators import catalogue, chat, dedup, etl, evaluation, facets, filters, models, state
 from lodestack.sources import files, transfer, web
 from lodestack.streaming import ingest
 
@@ -49,15 +49,14 @@ def test_filter_inference(spark):
     assert r[4].country_regions == ["Australia", "China"] and r[4].freshness and r[4].year_from == 2019
 
 
-def test_filter_fallback_and_scope(spark):
+def test_filter_fallback_and_hits(spark):
     docs = spark.createDataFrame([(1, ["A"], "X", "o", "en", ["t", "u"], 2018), (2, ["b"], "Y", "o", "fr", [], None)], "doc_id long, policy_areas array<string>, country_region string, source_organisation string, language string, keywords array<string>, year int")
     schema = "query_id long, policy_areas array<string>, country_regions array<string>, source_organisations array<string>, languages array<string>, tags array<string>, year_from int, year_to int, freshness boolean"
     f = spark.createDataFrame([(0, [], [], [], [], [], 2022, None, True), (1, ["a", "z"], [], [], ["EN"], ["T", "u"], 2018, 2018, False), (2, [], [], [], [], [], None, None, False), (3, [], [], [], [], ["t", "x"], None, None, False)], schema)
     r = {x.query_id: x for x in filters.match_counts(f, docs).collect()}
     assert r[0].fallback and "older sources" in r[0].notice and r[1].n_matched == 1 and not r[1].fallback
     assert not r[2].applied and r[2].description == "none" and r[3].fallback
-    scope = {(x.query_id, x.doc_id) for x in filters.scope(f, docs).collect()}
-    assert scope == {(0, 1), (0, 2), (1, 1), (2, 1), (2, 2), (3, 1), (3, 2)}
+    assert {(x.query_id, x.doc_id) for x in facets.hits(f, facets.FacetIndex(docs)).collect()} == {(1, 1)}
 
 
 def test_search_and_match_fields(spark):
