@@ -21,10 +21,11 @@ def literals(values) -> Column:
 def keyword_tokens(text: Column) -> Column:
     """Pairs of CJK characters (a run of one alone), then lower-case word runs without glue words, in order."""
     low = F.lower(F.coalesce(text, F.lit("")))
+    words = lambda t: F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: ~w.isin([*KEYWORD_STOPS, ""]))
     runs = F.regexp_extract_all(low, F.lit(f"({CJK_RUN})"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
-    words = F.regexp_extract_all(F.regexp_replace(low, CJK_RUN, " "), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return F.concat(pairs, F.filter(words, lambda w: ~w.isin(KEYWORD_STOPS)))
+    # most texts have no such character: one look, and one pass for the words
+    return F.when(low.rlike(CJK_RUN), F.concat(pairs, words(F.regexp_replace(low, CJK_RUN, " ")))).otherwise(words(low))
 
 
 def ascii_terms(text: Column) -> Column:

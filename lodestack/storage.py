@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """df to be sent to every task if it has max_rows rows at most, else as it is; and which of both. df is a written table, so counting reads no more than that."""
+    fits = df.limit(max_rows + 1).count() <= max_rows
+    return (F.broadcast(df) if fits else df), fits
