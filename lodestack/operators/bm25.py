@@ -75,7 +75,11 @@ def scores(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B,
     Statistics are those of the scope; documents without tokens count. Distinct query terms count once. Null texts count as empty.
     """
     terms = keep(query_terms(queries), "bm25-terms")
-    found = keep(postings(corpus, terms, sent_rows), "bm25-postings")
+    return scores_of(keep(postings(corpus, terms, sent_rows), "bm25-postings"), terms, k1, b, sent_rows)
+
+
+def scores_of(found: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """scores from postings, nulls included, and query_terms; both are written tables."""
     stats, df = statistics(found)
     weights = df.join(stats, "scope").join(terms, "term").select("scope", "query_id", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     return summed(found.where("term is not null"), weights, ["scope"], k1, b, sent_rows)

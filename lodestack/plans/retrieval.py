@@ -6,14 +6,17 @@ the vectors whose id is divisible by 100.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
 from lodestack.functions import vectors as V
 from lodestack.operators import bm25, evidence, hybrid, knn
+from lodestack.operators.keyword_index import KeywordIndex
 from lodestack.plans.library import CHUNKS_SQL, chunks, table
-from lodestack.storage import keep
+from lodestack.storage import keep, shared_dir
 
 K = 20
 TOKENS_SQL = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: NOT list_contains(string_split('" + " ".join(X.KEYWORD_STOPS) + r"', ' '), w))"
@@ -47,6 +50,16 @@ def bm25_topk(spark, sf_dir):
     return found.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("bm25_score", 6).alias("bm25_score"))
 
 
+def kept_index(spark, sf_dir):
+    """The five best of an index that was filled with the documents as they first were, and refreshed when a tenth had changed and others had gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = KeywordIndex(spark, f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}/keyword-index-{uuid.uuid4().hex}", n_buckets=16)
+    index.refresh(docs.withColumn("changed", F.lit(1)))
+    other = F.col("doc_id") % 10 == 0
+    index.refresh(docs.where("doc_id % 17 <> 3").select("doc_id", F.when(other, F.reverse("text")).otherwise(F.col("text")).alias("text"), F.when(other, 2).otherwise(1).alias("changed")))
+    return index.search(questions(spark, sf_dir), 5).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("bm25_score", 6).alias("bm25_score"))
+
+
 def bm25_scoped(spark, sf_dir):
     found = bm25.top(bm25.scores(corpus(spark, sf_dir, True), questions(spark, sf_dir)), 5)
     return found.select("scope", "query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("bm25_score", 6).alias("bm25_score"))
@@ -254,6 +267,7 @@ CORPUS = "WITH corpus AS (SELECT @scope AS scope, doc_id, text FROM documents),
 QUERIES = {
     "bm25_topk": bm25_topk,
     "b2_bm25_scoped": bm25_scoped,
+    "b4_q4_kept_index": kept_index,
     "b1_keyword_tokens": keyword_tokens,
     "a5_term_statistics": term_statistics,
     "b3_bm25_chunks": bm25_chunks,
@@ -274,9 +288,10 @@ RANKED = "SELECT {} FROM (SELECT *, row_number() OVER (PARTITION BY scope, query
 SQL = {
     "bm25_topk": CORPUS.replace("@scope", "'all'") + RANKED.format("query_id, doc_id, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score", 20),
     "b2_bm25_scoped": CORPUS.replace("@scope", "lang") + RANKED.format("scope, query_id, doc_id, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score", 5),
+    "b4_q4_kept_index": "WITH corpus AS (SELECT 'all' AS scope, doc_id, CASE WHEN doc_id % 10 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 17 <> 3), questions AS (SELECT item_id AS query_id, text FROM benchmark), " + BM25_SQL + RANKED.format("query_id, doc_id, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score", 5),
     "b1_keyword_tokens": f"SELECT doc_id, len({TOKENS_SQL}) AS n_tokens, md5(array_to_string({TOKENS_SQL}, ' ')) AS tokens_md5 FROM documents",
     "a5_term_statistics": CORPUS.replace("@scope", "'all'") + "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term",
-    "b3_bm25_chunks": f"WITH {CHUNKS_SQL}, corpus AS (SELECT 'all' AS scope, doc_id * 1000 + chunk_index AS doc_id, text FROM chunks), questions AS (SELECT item_id AS query_id, text FROM benchmark), {BM25_SQL} " + RANKED.format("query_id, doc_id // 1000 AS doc_id, doc_id % 1000 AS chunk_index, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score", 5),
+    "b3_bm25_chunks": f"WITH {CHUNKS_SQL}, corpus AS (SELECT 'all' AS scope, {{'d': doc_id, 'c': chunk_index}} AS doc_id, text FROM chunks), questions AS (SELECT item_id AS query_id, text FROM benchmark), {BM25_SQL} " + RANKED.format("query_id, doc_id.d AS doc_id, doc_id.c AS chunk_index, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score", 5),
     "knn_topk": """SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9), e.vec_id)::INTEGER AS rank
   FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 20""",
