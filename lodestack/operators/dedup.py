@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import normalised_hash
-from lodestack.operators import knn
+from lodestack.operators.pivots import PivotIndex
 
 
 def with_hashes(docs: DataFrame) -> DataFrame:
@@ -41,10 +41,12 @@ def semantic_windows(docs: DataFrame) -> DataFrame:
 def semantic_duplicates(windows: DataFrame, corpus: DataFrame, max_distance: float = 0.05, k: int = 8) -> DataFrame:
     """(doc_id, duplicate_of, total_distance): the candidate that all windows of a document find, with the least sum of distances.
 
-    windows(doc_id, window, vector), two at least for each document; corpus(doc_id, owner, vector): a vector and its document.
+    windows(doc_id, window, vector), two at least for each document; corpus(doc_id, owner, vector): a vector and its document. A window finds the k nearest of those
+    within max_distance: blocks of vectors that can't be so near aren't read.
     """
     asked = windows.select((F.col("doc_id") * 3 + F.col("window")).alias("query_id"), "vector")
-    found = knn.nearest(asked, corpus.select("doc_id", "vector"), k).where(F.col("distance") <= max_distance)
+    near = PivotIndex(corpus.select("doc_id", "vector")).within(asked, max_distance)
+    found = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id"))).where(F.col("rank") <= k)
     found = found.join(corpus.select("doc_id", "owner"), "doc_id").select(F.floor(F.col("query_id") / 3).alias("doc_id"), (F.col("query_id") % 3).alias("window"), "owner", "distance").where("owner <> doc_id")
     near = found.groupBy("doc_id", "window", "owner").agg(F.min("distance").alias("distance"))
     counts = windows.groupBy("doc_id").agg(F.count("*").alias("n_windows")).where("n_windows >= 2")

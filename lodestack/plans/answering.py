@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
-from lodestack.operators import evidence, facets, ingest, knn, retrieve
+from lodestack.operators import evidence, facets, ingest, retrieve
+from lodestack.operators.pivots import PivotIndex
 from lodestack.operators.scopes import Scopes
 from lodestack.plans.dialogue import EXPECT_SQL, MATCH_SQL, PHRASE_SQL, inferred
 from lodestack.plans.library import LIBRARY_SQL, library, table, visible
@@ -16,7 +17,7 @@ def visible_neighbours(spark, sf_dir):
     """The ten nearest visible vectors; vec_id is the document."""
     queries, rows = vectors(spark, sf_dir)
     seen = library(spark, sf_dir).where(visible()).select("doc_id", F.coalesce("title", "original_filename").alias("display_title"), "source_organisation")
-    found = knn.nearest(queries, rows.join(seen, "doc_id", "left_semi"), 10)
+    found = PivotIndex(rows.join(seen, "doc_id", "left_semi")).nearest(queries, 10)
     return found.join(seen, "doc_id").select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"), "display_title", "source_organisation")
 
 

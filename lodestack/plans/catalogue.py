@@ -299,6 +299,7 @@ SQL = {
     "x1_a4_exact_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "x2_normalised_hash": f"SELECT doc_id, sha256(text) AS sha256, sha256({HASH_SQL}) AS content_hash FROM documents",
     "x6_w3_cleanup": f"{CHUNK_COUNT}, h AS (SELECT doc_id, sha256({HASH_SQL}) AS k, chunk_count, uploaded_at FROM docs), r AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, first_value(doc_id) OVER (PARTITION BY k ORDER BY chunk_count DESC, uploaded_at, doc_id) AS keep_id FROM h) SELECT doc_id, keep_id, CASE WHEN doc_id = keep_id THEN 'keep' ELSE 'remove' END AS action FROM r WHERE n > 1",
+    "x3_j13_semantic": "WITH v AS (SELECT vec_id, vec_id // 3 AS doc, vec_id % 3 AS w, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT a.vec_id AS q, a.doc AS doc_id, a.w, CASE WHEN b.doc % 20 = 0 THEN b.doc + 1000000 ELSE b.doc END AS owner, 1 - list_cosine_similarity(a.e, b.e) AS d, b.vec_id AS other FROM v a, v b), n AS (SELECT * FROM d WHERE d <= 0.05 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(d, 9), other) <= 8), m AS (SELECT doc_id, w, owner, min(d) AS d FROM n WHERE owner <> doc_id GROUP BY ALL), c AS (SELECT doc AS doc_id, count(*) AS n_windows FROM v GROUP BY 1 HAVING count(*) >= 2), s AS (SELECT doc_id, owner, sum(d) AS total FROM m JOIN c USING (doc_id) GROUP BY doc_id, owner, n_windows HAVING count(*) = n_windows) SELECT doc_id, owner AS duplicate_of, round(total, 6) AS total_distance FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(total, 9), owner) = 1",
     "x3_windows": "WITH t AS (SELECT doc_id, trim(text, ' ') AS s FROM documents), w AS (SELECT doc_id, s, length(s) AS n, least(2000, greatest(600, length(s) // 4)) AS size FROM t WHERE length(s) >= 1200), p AS (SELECT doc_id, [substring(s, 1, size), substring(s, (n - size) // 2 + 1, size), substring(s, n - size + 1, size)] AS x FROM w), d AS (SELECT doc_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS x FROM p), e AS (SELECT doc_id, unnest(range(0, len(x))) AS k, x FROM d) SELECT doc_id, k::INTEGER AS window, length(x[k + 1]) AS chars, md5(x[k + 1]) AS text_md5 FROM e",
     "d19_canonical_url": f"WITH {PAGES_SQL} SELECT page_id, url FROM page_urls",
     "w1_j9_url_owner": f"WITH {PAGES_SQL} SELECT page_id AS doc_id, regexp_replace(url, '[0-9]+', 'N', 'g') AS canonical_url FROM page_urls QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '[0-9]+', 'N', 'g') ORDER BY uploaded_at, page_id) = 1",

@@ -15,6 +15,7 @@ from lodestack.functions import text as X
 from lodestack.functions import vectors as V
 from lodestack.operators import bm25, evidence, hybrid, knn
 from lodestack.operators.keyword_index import KeywordIndex
+from lodestack.operators.pivots import PivotIndex
 from lodestack.plans.library import CHUNKS_SQL, chunks, table
 from lodestack.storage import keep, shared_dir
 
@@ -83,7 +84,7 @@ def bm25_chunks(spark, sf_dir):
 
 def knn_topk(spark, sf_dir):
     queries, rows = vectors(spark, sf_dir)
-    return knn.nearest(queries, rows, K).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+    return PivotIndex(rows).nearest(queries, K).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
 def knn_scoped(spark, sf_dir):
