@@ -42,12 +42,11 @@ def token_usage(messages: DataFrame) -> DataFrame:
     return after.groupBy("session_id").agg(total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens")).withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
 
-def tool_budget(calls: DataFrame, limits: DataFrame) -> DataFrame:
-    """(session_id, turn, tool, n_calls, call_limit, available) of calls(session_id, turn, tool) against limits(tool, call_limit)."""
-    used = calls.groupBy("session_id", "turn", "tool").agg(F.count("*").alias("n_calls"))
-    turns = calls.select("session_id", "turn").distinct()
-    # limits has a row for each kind of tool
-    return turns.join(F.broadcast(limits), F.lit(True)).join(used, ["session_id", "turn", "tool"], "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0))).withColumn("available", F.col("n_calls") < F.col("call_limit"))
+def tool_budget(calls: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(session_id, turn, tool, n_calls, call_limit, available) of calls(session_id, turn, tool): a row of each turn for each tool that has a limit."""
+    used = calls.groupBy("session_id", "turn").agg(*[F.count_if(F.col("tool") == tool).alias(f"n_{i}") for i, tool in enumerate(limits)])
+    rows = F.explode(F.array(*[F.struct(F.lit(tool).alias("tool"), F.col(f"n_{i}").alias("n_calls"), F.lit(limit).alias("call_limit")) for i, (tool, limit) in enumerate(limits.items())]))
+    return used.select("session_id", "turn", rows.alias("r")).select("session_id", "turn", "r.*").withColumn("available", F.col("n_calls") < F.col("call_limit"))
 
 
 def tools_for(admin: Column, mode: Column, counts: Column, limits: dict[str, int], admin_only=("manage_library",), chat_only=("search_web",)) -> Column:
@@ -116,9 +115,12 @@ def resolve_reference(pages: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def trace_summary(results: DataFrame, n: int = 5) -> DataFrame:
-    """(call_id, n_results, titles): the first n distinct titles of results(call_id, position, title)."""
-    titles = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("position", "title"))), lambda x: x["title"])), 1, n)
-    return results.groupBy("call_id").agg(F.count("*").alias("n_results"), F.array_join(titles, " | ").alias("titles"))
+    """(call_id, n_results, titles): the first n distinct titles of results(call_id, position, title), ranked before they are listed."""
+    seen = results.groupBy("call_id", "title").agg(F.min("position").alias("first"), F.count("*").alias("n"))
+    counts = seen.groupBy("call_id").agg(F.sum("n").alias("n_results"))
+    ranked = seen.where("title is not null").withColumn("nth", F.row_number().over(W.partitionBy("call_id").orderBy("first", "title"))).where(F.col("nth") <= n)
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "title"))), lambda x: x["title"]), " | ")
+    return counts.join(ranked.groupBy("call_id").agg(titles.alias("titles")), "call_id", "left").select("call_id", "n_results", F.coalesce("titles", F.lit("")).alias("titles"))
 
 
 def filter_notice(events: DataFrame) -> DataFrame:

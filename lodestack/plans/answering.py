@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
@@ -77,10 +78,9 @@ def flags(spark, sf_dir):
 def previews(spark, sf_dir):
     """Citations that aren't blank, three at most for each question."""
     rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("text")).alias("quote"))
-    shown = F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "quote"))), 1, 3)
-    best = rows.where("trim(quote) <> ''").groupBy("query_id", (F.floor(F.col("doc_id") / 400)).alias("part")).agg(shown.alias("some"))
-    # the first three of parts' first three, so that no list grows with the table
-    return best.select("query_id", F.explode("some").alias("c")).groupBy("query_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("c.doc_id")), 1, 3), lambda i: i.cast("string")), ",").alias("shown"))
+    # ranked first: partial ranks keep three of each question before anything is shuffled, and texts stay behind
+    first = rows.where("trim(quote) <> ''").select("query_id", "doc_id").withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id"))).where("nth <= 3")
+    return first.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",").alias("shown"))
 
 
 def displays(spark, sf_dir):

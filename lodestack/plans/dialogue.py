@@ -117,8 +117,7 @@ def calls(spark, sf_dir):
 
 
 def budgets(spark, sf_dir):
-    limits = spark.createDataFrame([("click", 2), ("view", 3), ("purchase", 1)], "tool string, call_limit int")
-    return H.tool_budget(calls(spark, sf_dir).select("session_id", "turn", "tool"), limits)
+    return H.tool_budget(calls(spark, sf_dir).select("session_id", "turn", "tool"), {"click": 2, "view": 3, "purchase": 1})
 
 
 def tool_choice(spark, sf_dir):

@@ -8,7 +8,7 @@ from lodestack.functions import text as X
 from lodestack.functions import vectors as V
 from lodestack.operators import etl
 from lodestack.plans.library import CHUNKS_SQL, LIBRARY_SQL, chunks, library, table
-from lodestack.streaming import ingest
+from lodestack.streaming import ingest, threads
 
 
 def pages(spark, sf_dir):
@@ -96,23 +96,24 @@ def windows(spark, sf_dir):
     return ingest.event_windows(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-def _step(state, event):
-    state["n"] += 1
-    state["errors"] = state["errors"] + 1 if event["event_type"] == "error" else 0
-    state["last"] = event["event_id"]
-    return state
-
-
 def folded(spark, sf_dir):
     """Each user's event count, errors since the last other event, and last event."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return ingest.fold(events, "user_id", "event_id", lambda: {"n": 0, "errors": 0, "last": 0}, _step, "user_id long, n long, errors long, last long")
+    kind = F.when(F.col("event_type") == "error", "error").otherwise("reset")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(None).cast("string").alias("key"))
+    return threads.states(events, ("reset",)).select(F.col("thread").alias("user_id"), "n", F.col("since").alias("errors"), "last")
+
+
+def thread_states(spark, sf_dir):
+    """Users as threads: a purchase begins a turn, a click calls a tool, a view opens a page."""
+    kind = F.when(F.col("event_type") == "purchase", "question").when(F.col("event_type") == "click", "tool").when(F.col("event_type") == "view", "page").otherwise("other")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("k"), (F.floor(F.col("value")) % 11).cast("string")).alias("key"))
+    return threads.states(events, ("question",), 4)
 
 
 QUERIES = {
     "d2_margin_lines": margin_lines, "d3_d4_clean_pages": cleaned, "d5_d8_chunks": chunked, "d12_d13_excerpts": excerpts, "d14_metadata_json": metadata_json, "f9_f16_strings": string_recovery,
     "v5_j17_snapped_labels": snapped_labels, "d15_taxonomy_labels": taxonomy_labels, "d10_d11_embedding_input": embedding_inputs, "v10_vector_literal": vector_literals, "s2_s4_content_checks": content_checks,
-    "event_windows": windows, "q6_folded_state": folded,
+    "event_windows": windows, "q6_folded_state": folded, "q6_thread_states": thread_states,
 }
 
 PAGES_SQL = f"{CHUNKS_SQL}, pages_ AS (SELECT doc_id, chunk_index AS page, 'Annual  Report ' || doc_id || chr(10) || left(text, 500) || CASE WHEN chunk_index >= 4 AND doc_id % 2 = 0 THEN chr(10) || 'References' || chr(10) ELSE chr(10) END || substring(text, 501, 500) || chr(10) || 'Page ' || (chunk_index + 1) AS text FROM chunks)"
@@ -133,5 +134,6 @@ SQL = {
     "d10_d11_embedding_input": f"WITH {LIBRARY_SQL.strip()} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN left('About ' || original_filename || ' ' || repeat(source_type, 60), 240) || chr(10) || chr(10) ELSE '' END || text) AS input_md5, CASE WHEN doc_id % 3 = 0 AND length(trim(text, ' ')) >= 20 THEN 'detected' ELSE language END AS language FROM library",
     "s2_s4_content_checks": f"WITH {LIBRARY_SQL.strip()} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN false ELSE true END AS valid, CASE WHEN doc_id % 5 <> 0 THEN original_filename END AS filename, CASE WHEN doc_id % 5 = 0 THEN 'application/octet-stream' ELSE ['application/pdf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'text/plain', 'text/markdown'][doc_id % 4 + 1] END AS mime_type FROM library",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "q6_thread_states": "WITH e AS (SELECT user_id AS thread, event_id AS seq, event_type AS kind, 'k' || (floor(value)::BIGINT % 11) AS key FROM events), s AS (SELECT thread, count(*) AS n, max(seq) AS last, count(*) FILTER (kind = 'purchase') AS turn, max(seq) FILTER (kind = 'purchase') AS begun FROM e GROUP BY 1), c AS (SELECT e.* FROM e JOIN s USING (thread) WHERE kind <> 'purchase' AND seq > coalesce(begun, -1)), t AS (SELECT thread, string_agg(key || '=' || calls, ',' ORDER BY key) AS tools FROM (SELECT thread, key, count(*) AS calls FROM c WHERE kind = 'click' AND key IS NOT NULL GROUP BY ALL) GROUP BY 1), f AS (SELECT thread, key, min(seq) AS seq FROM e WHERE kind = 'view' AND key IS NOT NULL GROUP BY thread, key), p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY thread ORDER BY seq DESC) <= 4), g AS (SELECT thread, string_agg(key, ',' ORDER BY seq) AS pages FROM p GROUP BY 1) SELECT thread, n, last, turn, (SELECT count(*) FROM c WHERE c.thread = s.thread) AS since, coalesce(tools, '') AS tools, coalesce(pages, '') AS pages FROM s LEFT JOIN t USING (thread) LEFT JOIN g USING (thread)",
     "q6_folded_state": "WITH s AS (SELECT user_id, count(*) AS n, max(event_id) AS last, max(event_id) FILTER (event_type <> 'error') AS ok FROM events GROUP BY 1) SELECT s.user_id, n, (SELECT count(*) FROM events e WHERE e.user_id = s.user_id AND e.event_id > coalesce(ok, -1)) AS errors, last FROM s",
 }

@@ -37,6 +37,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def naming_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """questions, every third of which names an instrument that no document has."""
+    named = F.when(F.col("query_id") % 3 == 0, F.concat("text", F.lit(" So says the 2031 Quantum Energy Act"))).otherwise(F.col("text"))
+    return questions(spark, sf_dir).withColumn("text", named)
+
+
 def corpus(spark: SparkSession, sf_dir: str, by_language: bool = False) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("scope") if by_language else F.lit("all").alias("scope"), "doc_id", "text")
 
@@ -106,10 +112,10 @@ def vector_checks(spark, sf_dir):
     return rows.select("doc_id", V.valid_vector(v, 64).alias("valid"), V.valid_vector(v, 63).alias("valid_63"), F.round(V.norm(v), 6).alias("norm"), F.round(V.cosine_distance(v, F.transform(v, lambda x: -x)), 6).alias("to_opposite"), F.round(V.cosine_similarity(v, F.transform(v, lambda x: x * 0)), 6).alias("to_zero"))
 
 
-def fused(spark, sf_dir, limit=K):
+def fused(spark, sf_dir, limit=K, ask=questions):
     queries, rows = vectors(spark, sf_dir)
     dense = knn.nearest(queries, rows, K)
-    asked = questions(spark, sf_dir).select((F.col("query_id") * 100).alias("query_id"), "text")
+    asked = ask(spark, sf_dir).select((F.col("query_id") * 100).alias("query_id"), "text")
     sparse = bm25.top(bm25.scores(corpus(spark, sf_dir), asked), K).drop("scope")
     return queries, rows, hybrid.hybrid_candidates(dense, sparse, limit)
 
@@ -140,10 +146,10 @@ def overlap_score(question, text):
     return X.lexical_matches(question, text).cast("double") - F.lit(3.0)
 
 
-def reranked(spark, sf_dir):
-    queries, rows, found = fused(spark, sf_dir)
+def reranked(spark, sf_dir, ask=questions):
+    queries, rows, found = fused(spark, sf_dir, ask=ask)
     found = hybrid.backfill_distances(found, queries, rows)
-    asked = questions(spark, sf_dir).select((F.col("query_id") * 100).alias("query_id"), F.col("text").alias("question"))
+    asked = ask(spark, sf_dir).select((F.col("query_id") * 100).alias("query_id"), F.col("text").alias("question"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hybrid.rerank(found.join(asked, "query_id").join(texts, "doc_id", "left"), overlap_score(F.col("question"), F.col("text")), 6)
 
@@ -163,8 +169,8 @@ scored AS (
 top6 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(reranker_score, 9) DESC NULLS LAST, rank) AS new_rank FROM scored QUALIFY new_rank <= 6)"""
 
 
-def gated(spark, sf_dir):
-    rows = reranked(spark, sf_dir)
+def gated(spark, sf_dir, ask=questions):
+    rows = reranked(spark, sf_dir, ask)
     return rows.withColumn("relevant", evidence.is_relevant(F.col("question"), F.col("text"), F.col("distance"), F.col("reranker_score"), 0.6))
 
 
@@ -203,14 +209,15 @@ ctx AS (SELECT query_id, string_agg(substring(block, 1, left_::BIGINT), chr(10)
 
 def evidence_gate(spark, sf_dir):
     # written once: chunks and contexts both read it
-    rows = keep(gated(spark, sf_dir), "gated")
-    asked = questions(spark, sf_dir).select((F.col("query_id") * 100).alias("query_id"), F.col("text").alias("question"), F.lit(True).alias("has_embeddings"))
+    rows = keep(gated(spark, sf_dir, naming_questions), "gated")
+    asked = naming_questions(spark, sf_dir).select((F.col("query_id") * 100).alias("query_id"), F.col("text").alias("question"), F.lit(True).alias("has_embeddings"))
     judged = rows.select("query_id", F.col("new_rank").alias("position"), "text", "distance", "reranker_score")
     return evidence.assess(asked, judged, contexts(rows), max_distance=0.6)
 
 
+NAMING_SQL = "CASE WHEN item_id % 3 = 0 THEN text || ' So says the 2031 Quantum Energy Act' ELSE text END"
 GATE_SQL = f"""
-WITH {FUSED_SQL.strip()[5:]}, {RERANK_SQL}, {RELEVANT_SQL}, {CONTEXT_SQL},
+WITH {FUSED_SQL.strip()[5:].replace("text FROM benchmark", NAMING_SQL + " AS text FROM benchmark")}, {RERANK_SQL}, {RELEVANT_SQL}, {CONTEXT_SQL},
 ev AS (SELECT query_id, count(*) FILTER (relevant) AS n_relevant, string_agg(coalesce(text, ''), chr(10) ORDER BY new_rank) FILTER (relevant) AS evidence FROM gate GROUP BY query_id),
 named AS (
   SELECT q.query_id, unnest(range(1, 1 + len(names))) AS nth, unnest(names) AS name FROM (SELECT query_id, regexp_extract_all(q.text, '\\b((?:(?:[A-Z][A-Za-z0-9''’.-]*|\\d{{4}})\\s+){{1,7}}(?:Act|Bill|Regulations?|Standard|Framework|Policy|Plan))\\b', 1) AS names FROM questions q) q

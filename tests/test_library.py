@@ -244,3 +244,9 @@ def test_ingest_stream(spark, tmp_path):
     spark.createDataFrame([(4, "C"), (5, "d")], schema).coalesce(1).write.mode("append").parquet(src)
     ingest.ingest(ingest.arrivals(spark, src, schema), lib, ck).awaitTermination()
     assert {r.doc_id for r in spark.read.parquet(lib).collect()} == {1, 3, 5}
+    # hashes of other prefixes aren't opened, and no library is no error
+    known = ingest.known_hashes(spark, lib, ["00", "ff"], -1)
+    assert "prefix#" in known._jdf.queryExecution().optimizedPlan().toString() and ingest.known_hashes(spark, str(tmp_path / "none"), ["00"], 0) is None
+    own = spark.read.parquet(lib).where("doc_id = 3").first()
+    assert [r.content_hash for r in ingest.known_hashes(spark, lib, [own.content_hash[:2]], -1).where(F.col("content_hash") == own.content_hash).collect()] == [own.content_hash]
+    assert ingest.known_hashes(spark, lib, [own.content_hash[:2]], own.batch).where(F.col("content_hash") == own.content_hash).count() == 0
