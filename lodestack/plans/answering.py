@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from lodestack.operators.scopes import Scopes
 from lodestack.plans.dialogue import EXPECT_SQL, MATCH_SQL, PHRASE_SQL, inferred
 from lodestack.plans.library import LIBRARY_SQL, library, table, visible
 from lodestack.plans.retrieval import EVIDENCE_STOPS_SQL, TERMS_SQL, TOKENS_SQL, overlap_score, vectors
+from lodestack.sources import recorded
+from lodestack.storage import shared_dir
 
 
 def visible_neighbours(spark, sf_dir):
@@ -90,8 +94,19 @@ def displays(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.english_display(label, X.humanized(F.lit("text_re-ranking"))).alias("display"), X.private_address(host).alias("private"))
 
 
+def recorded_search(spark, sf_dir):
+    """Pages as what a search service answered: page p stands at place p of topic p % 40, with some fields missing; asked again for 50 topics."""
+    i = F.col("page_id")
+    own = F.map_from_entries(F.array_compact(F.array(F.when(i % 3 == 0, F.struct(F.lit("title"), F.concat(F.lit("Own "), i.cast("string")))), F.when(i % 4 == 1, F.struct(F.lit("description"), F.concat(F.lit("About "), i.cast("string")))), F.when(i % 5 == 2, F.struct(F.lit("source_url"), F.concat(F.lit("https://source/"), i.cast("string")))))))
+    items = table(spark, sf_dir, "pages").select(F.concat(F.lit("topic "), (i % 40).cast("string")).alias("query"), i.cast("int").alias("position"), "url", F.when(i % 2 == 0, F.concat(F.lit("Page "), i.cast("string"))).alias("title"), F.when(i % 4 != 1, F.col("html")).alias("markdown"), F.lit(None).cast("string").alias("description"), own.alias("metadata"))
+    path = f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}/recorded-{uuid.uuid4().hex}"
+    recorded.record(items, path)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("topic "), (F.col("item_id") % 50).cast("string")).alias("query"))
+    return recorded.search(spark, path, asked).select("query_id", F.col("rank").cast("int").alias("rank"), "url", "title", F.md5("content").alias("content_md5"))
+
+
 QUERIES = {
-    "v4_j3_visible_neighbours": visible_neighbours, "v7_j12_distances": given_distances, "v3_p7_scoped_search": scoped_search, "r5_scoped_hybrid": scoped_hybrid, "e8_decisions": decisions, "d1_ingest": ingested,
+    "s11_recorded_search": recorded_search, "v4_j3_visible_neighbours": visible_neighbours, "v7_j12_distances": given_distances, "v3_p7_scoped_search": scoped_search, "r5_scoped_hybrid": scoped_hybrid, "e8_decisions": decisions, "d1_ingest": ingested,
     "a15_flags": flags, "p15_citation_preview": previews, "f17_d20_display": displays,
 }
 
@@ -135,6 +150,7 @@ HASH_SQL = "sha256(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')))"
 LANG_SQL = "CASE WHEN regexp_matches(lower(left(t, 20000)), 'transformaci|polit|digitalizaci') THEN 'Spanish' WHEN regexp_matches(lower(left(t, 20000)), 'strat|numer|gouvernance') THEN 'French' ELSE 'English' END"
 
 SQL = {
+    "s11_recorded_search": "WITH i AS (SELECT page_id AS p, 'topic ' || (page_id % 40) AS query, CASE WHEN page_id % 5 = 2 THEN 'https://source/' || page_id ELSE url END AS link, url, html FROM pages), b AS (SELECT item_id AS query_id, 'topic ' || (item_id % 50) AS query FROM benchmark) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY p)::INTEGER AS rank, link AS url, CASE WHEN p % 3 = 0 THEN 'Own ' || p WHEN p % 2 = 0 THEN 'Page ' || p ELSE link END AS title, md5(CASE WHEN p % 4 = 1 THEN 'About ' || p ELSE coalesce(html, '') END) AS content_md5 FROM b JOIN i USING (query) QUALIFY rank <= 5",
     "v4_j3_visible_neighbours": f"WITH {LIBRARY_SQL.strip()}, d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance, coalesce(title, original_filename) AS display_title, source_organisation FROM embeddings q, embeddings e JOIN library l ON l.doc_id = e.vec_id WHERE q.vec_id % 100 = 0 AND approved AND access_level = 'public') SELECT query_id, doc_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id)::INTEGER AS rank, display_title, source_organisation FROM d QUALIFY rank <= 10",
     "v7_j12_distances": "WITH p AS (SELECT vec_id // 10 * 100 AS query_id, vec_id * 3 AS doc_id FROM embeddings) SELECT p.query_id, p.doc_id, round(coalesce(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 1), 6) AS distance FROM p LEFT JOIN embeddings q ON q.vec_id = p.query_id AND q.vec_id % 100 = 0 LEFT JOIN embeddings e ON e.vec_id = p.doc_id",
     "v3_p7_scoped_search": ASKED_SQL + ", d AS (SELECT s.query_id, s.doc_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance FROM scope s JOIN embeddings e ON e.vec_id = s.doc_id JOIN embeddings q ON q.vec_id = s.query_id * 7) SELECT query_id, doc_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id)::INTEGER AS rank FROM d QUALIFY rank <= 5",
