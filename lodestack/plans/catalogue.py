@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
 from lodestack.operators import catalogue as C
 from lodestack.operators import dedup as D
 from lodestack.operators import state as S
+from lodestack.operators.stored import StoredTable
 from lodestack.plans.library import CHUNKS_SQL, LIBRARY_SQL, chunks, library, table, visible
+from lodestack.storage import shared_dir
 
 NOW = "2024-03-01 00:00:00"
 L = f"WITH {LIBRARY_SQL.strip()} "
@@ -260,7 +264,19 @@ def unregistered(spark, sf_dir):
     return new.select("doc_id", "sha256")
 
 
+def stored_changes(spark, sf_dir):
+    """The rows of a stored table of documents after an upsert of a tenth, some new ones and a deletion."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    stored = StoredTable(spark, f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}/stored-{uuid.uuid4().hex}", docs.schema, ["doc_id"], 16)
+    stored.replace(docs)
+    stored.upsert(docs.where("doc_id % 10 = 0").select("doc_id", F.lit("new").alias("source"), (-F.col("n_chars")).alias("n_chars")))
+    stored.insert_missing(docs.where("doc_id % 7 = 0").select((F.col("doc_id") * F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)).alias("doc_id"), F.lit("added").alias("source"), "n_chars"))
+    stored.delete(docs.where("doc_id % 13 = 1").select("doc_id"))
+    return stored.rows()
+
+
 QUERIES = {
+    "u1_u10_stored_changes": stored_changes,
     "p1_p5_visibility": visibility, "p2_exact_filters": filtered, "p3_p4_search": searched, "t2_page": page_two, "t1_orders": orders, "a2_total_pages": total_pages,
     "catalogue_counts": chunk_counts, "s14_point_lookup": point_lookup, "s15_resolve": resolve_ids, "s16_s18_chunk_scan": chunk_scan, "s17_pages_missing": pages_missing,
     "a12_facets": facets, "a13_dashboard": dashboard, "a3_fingerprint": fingerprints, "a11_taxonomy_tree": taxonomy_tree, "j16_uncategorised": uncategorised, "a20_next_uid": sequential_uid,
@@ -278,6 +294,7 @@ META_SQL = f"{L}, o AS (SELECT doc_id, title, year, keywords, ['old'] AS stakeho
 HASH_SQL = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '))"
 
 SQL = {
+    "u1_u10_stored_changes": "WITH a AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE source END AS source, CASE WHEN doc_id % 10 = 0 THEN -n_chars ELSE n_chars END AS n_chars FROM documents), b AS (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -doc_id END AS doc_id, 'added' AS source, n_chars FROM documents WHERE doc_id % 7 = 0) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 13 = 1)",
     "p1_p5_visibility": L + "SELECT doc_id, coalesce(title, original_filename) AS display_title, CASE WHEN original_filename LIKE '%.pdf' THEN 'application/pdf' WHEN original_filename LIKE '%.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN original_filename LIKE '%.txt' THEN 'text/plain' ELSE 'text/markdown' END AS mime_type FROM library WHERE approved AND access_level = 'public'",
     "p2_exact_filters": L + "SELECT doc_id, country_region, status FROM library WHERE approved AND access_level = 'public' AND list_contains(policy_areas, 'ASIA') AND source_type = 'report'",
     "p3_p4_search": L + f"SELECT doc_id, array_to_string(f, ',') AS match_fields FROM (SELECT doc_id, {FIELDS_SQL.format('asia')} AS f FROM library) WHERE len(f) > 0",
