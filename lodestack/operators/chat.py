@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestack.operators.running import running
+
 
 def turn_index(messages: DataFrame) -> DataFrame:
     """messages(session_id, seq, role, ...) with turn: the user messages so far."""
-    w = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return messages.withColumn("turn", F.sum((F.col("role") == "user").cast("int")).over(w))
+    return running(messages, ["session_id"], ["seq"], {"turn": (F.col("role") == "user").cast("int")})
+
+
+def _with_last_question(messages: DataFrame) -> DataFrame:
+    """messages with last, the seq of their session's last user message: an aggregate that is joined back, so no session is held together."""
+    last = messages.where(F.col("role") == "user").groupBy("session_id").agg(F.max("seq").alias("last"))
+    return messages.join(last, "session_id", "left")
 
 
 def current_turn(messages: DataFrame, plain=("user", "assistant")) -> DataFrame:
     """From the last user message on everything; before it plain conversation with text."""
-    last = F.max(F.when(F.col("role") == "user", F.col("seq"))).over(W.partitionBy("session_id"))
     kept = (F.col("seq") >= F.coalesce("last", F.lit(-1))) | (F.col("role").isin(*plain) & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0))
-    return messages.withColumn("last", last).where(kept).drop("last")
+    return _with_last_question(messages).where(kept).drop("last")
 
 
 def history(messages: DataFrame, n: int = 10) -> DataFrame:
@@ -36,8 +42,7 @@ def sessions(messages: DataFrame, preview: int = 120) -> DataFrame:
 
 def token_usage(messages: DataFrame) -> DataFrame:
     """Tokens of assistant messages after the last user message, for sessions that report any; messages(session_id, seq, role, input_tokens, output_tokens)."""
-    last = F.max(F.when(F.col("role") == "user", F.col("seq"))).over(W.partitionBy("session_id"))
-    after = messages.withColumn("last", last).where((F.col("role") == "assistant") & (F.col("seq") > F.coalesce("last", F.lit(-1))) & (F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()))
+    after = _with_last_question(messages).where((F.col("role") == "assistant") & (F.col("seq") > F.coalesce("last", F.lit(-1))) & (F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()))
     total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long")
     return after.groupBy("session_id").agg(total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens")).withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
@@ -79,7 +84,7 @@ def finalised(messages: DataFrame, outcomes: DataFrame) -> DataFrame:
 def numbered_citations(citations: DataFrame) -> DataFrame:
     """citations(session_id, position, key) with number: equal keys share one, new keys get the next in order of first sight."""
     first = citations.groupBy("session_id", "key").agg(F.min("position").alias("first"))
-    numbered = first.withColumn("number", F.row_number().over(W.partitionBy("session_id").orderBy("first", "key")))
+    numbered = running(first, ["session_id"], ["first", "key"], {"number": F.lit(1)})
     return citations.join(numbered.drop("first"), ["session_id", "key"])
 
 
@@ -126,8 +131,7 @@ def trace_summary(results: DataFrame, n: int = 5) -> DataFrame:
 def filter_notice(events: DataFrame) -> DataFrame:
     """The notice standing after each of events(session_id, seq, fallback, notice, satisfied): set by a fallback, cleared when a tier is satisfied without one."""
     change = F.when(F.col("fallback"), F.struct(F.col("notice").alias("n"))).when(F.col("satisfied"), F.struct(F.lit(None).cast("string").alias("n")))
-    w = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn("standing", F.last(change, ignorenulls=True).over(w)["n"])
+    return running(events, ["session_id"], ["seq"], lasts={"standing": change}).withColumn("standing", F.col("standing")["n"])
 
 
 def new_ground(seen: DataFrame, raised: DataFrame) -> DataFrame:
