@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lodestack.llm import bpe, chat_format, collocations, embedding_dedup, exact_dedup, langid, mixing, packing, prefix_trie, sharding, simhash, toxicity, wordpiece
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,

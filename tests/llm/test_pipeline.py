@@ -103,6 +103,8 @@ def test_odd_rows_through_every_stage(spark, tmp_path):
     gone = {9_000_001, 9_000_002, 9_000_003, 9_000_004}
     assert not gone & set(ids["language ID"]) and ids["language ID"][9_000_005] == 2 and ids["language ID"][None] == 2
     assert ids["exact dedup"][9_000_005] == 1 and ids["exact dedup"][None] == 1 and 9_000_006 not in ids["exact dedup"] and ids["exact dedup"][9_000_007] == 1
+    # one id with two texts: both live on, through every stage
+    assert all(ids[name][9_000_008] == 2 for name in ("language ID", "exact dedup", "SimHash near-dedup"))
     assert ids["SimHash near-dedup"][None] == 1 and ids["SimHash near-dedup"][9_000_007] == 1
     assert ids["mixing"] == ids["BPE"]
     empty = spark.createDataFrame([], schema)

@@ -199,3 +199,10 @@ def test_counts_of_a_table(spark):
 
     got = sorted(((r.doc_id or 0, r.n_tokens) for r in wordpiece.token_counts(docs).collect()))
     assert got == sorted((r.doc_id or 0, count(r.text or "")) for r in docs.collect())
+
+
+def test_counts_of_odd_tables(spark):
+    rows = spark.createDataFrame([(1, None, "x", 5), (2, "", None, None), (3, "a b", "y", 1), (3, "a b", "y", 1), (None, "a b", "z", 2)], "doc_id long, text string, n_tokens string, ids long")
+    assert sorted(((r.doc_id or 0, r.n_tokens) for r in wordpiece.token_counts(rows).collect())) == [(0, 2), (1, 0), (2, 0), (3, 2), (3, 2)]
+    empty = wordpiece.token_counts(rows.where("doc_id > 99"))
+    assert empty.collect() == [] and empty.columns == ["doc_id", "n_tokens"]
