@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from lodestack.llm.common import connected_components, documents, fresh, keep
+from lodestack.llm.common import connected_components, documents, fresh, keep, merged, sent
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -125,12 +125,13 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, crowded: int = 100) -> Dat
         raise ValueError("anchors within radius 1 + 1 of a half cover 3 differing bits at most")
     rows = with_anchors(fps)
     homes = rows.where("home")
-    hot = keep(homes.groupBy("half", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowded), "simhash-crowded")
-    calm = homes.join(hot.select("half", "anchor"), ["half", "anchor"], "left_anti").alias("x").join(rows.alias("y"), ["half", "anchor"])
+    hot = keep(homes.groupBy("half", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("half", "anchor"), "simhash-crowded")
+    hot = sent(hot)
+    calm = homes.join(hot, ["half", "anchor"], "left_anti").alias("x").join(merged(rows).alias("y"), ["half", "anchor"])
     calm = calm.where((F.col("x.fp") != F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= threshold)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    dealt = rows.join(hot.select("half", "anchor"), ["half", "anchor"])
+    dealt = rows.join(hot, ["half", "anchor"])
     sizes = dealt.groupBy("half", "anchor").agg(F.ceil(F.count_if("home") / HOMES_PER_BLOCK).cast("int").alias("home_blocks"), F.ceil(F.count("*") / ROWS_PER_BLOCK).cast("int").alias("row_blocks"))
-    dealt = dealt.join(keep(sizes, "simhash-blocks"), ["half", "anchor"])
+    dealt = dealt.join(sent(keep(sizes, "simhash-blocks")), ["half", "anchor"])
 
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
@@ -152,15 +153,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     included. Rows without a doc_id get their fingerprint, link with nothing and have component_id null. Null,
     empty and word-less texts have fingerprint zero and link like any other. Repeated rows share all values; a doc_id
     that stands at different texts joins nothing by that. Equal fingerprints are one row in all that follows the first aggregate,
-    so copies cost nothing there. An empty table gives no rows.
+    so copies cost nothing there. Tables with a row for each fingerprint meet by shuffles; none is sent through the driver. An empty table gives no rows.
     """
     fps = keep(fingerprints(docs, shingle), "simhash")
     distinct = keep(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     parts = connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), threshold), "simhash")
-    placed = keep(distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-parts")
+    placed = keep(distinct.join(merged(parts), distinct["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-parts")
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = keep(placed.join(least, "component").select("fp", "component", "component_id"), "simhash-ids")
-    return fps.join(ids, "fp", "left").select("doc_id", "digest", "fp", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    ids = keep(placed.join(merged(least), "component").select("fp", "component", "component_id"), "simhash-ids")
+    return fps.join(merged(ids), "fp", "left").select("doc_id", "digest", "fp", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -171,9 +172,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     own, digest = fresh(docs, "id", "digest")
     found = keep(near_duplicates(docs.select("doc_id", "text")), "simhash-found")
     stays = found.where("doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*")
-    dropped = found.where("doc_id is not null").join(stays, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    dropped = found.where("doc_id is not null").join(merged(stays), ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
     of_text = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(dropped, (docs["doc_id"] == F.col(own)) & (of_text == F.col(digest)), "left_anti")
+    return docs.join(merged(dropped), (docs["doc_id"] == F.col(own)) & (of_text == F.col(digest)), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
