@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import fresh, keep, shared_dir
+from lodestack.llm.common import fresh, keep, merged, shared_dir
 
 
 class DigestIndex:
@@ -39,7 +39,7 @@ class DigestIndex:
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The rows of groups(digest, ...) whose digest isn't in the index."""
-        return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        return groups.join(merged(self.table().select("digest")), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
         groups.select("digest", "keep_id").write.format("parquet").bucketBy(self.n_buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.name)
@@ -57,8 +57,8 @@ class DigestIndex:
         digests = keep(rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")), "digests")
         groups = keep(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
         self.append(self.unseen(groups))
-        holders = keep(groups.drop("keep_id").join(self.table(), "digest"), "digest-holders")
-        return digests.join(holders, "digest").select(
+        holders = keep(groups.drop("keep_id").join(merged(self.table()), "digest"), "digest-holders")
+        return digests.join(merged(holders), "digest").select(
             "doc_id",
             "keep_id",
             "group_size",
@@ -80,7 +80,7 @@ def keep_distinct_texts(docs: DataFrame, index: DigestIndex | None = None) -> Da
     key = [F.coalesce("doc_id", F.lit(0)).alias(own), F.col("doc_id").isNull().alias(none)]
     kept = exact_dedup(docs, index).where("kept").select(*key, F.col("text_sha256").alias(digest)).distinct()
     rows = docs.select("*", *key, F.sha2(F.coalesce("text", F.lit("")), 256).alias(digest)).dropDuplicates(names)
-    return rows.join(kept, names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(merged(kept), names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import documents, fresh, keep, starts
+from lodestack.llm.common import documents, fresh, keep, merged, sent, starts
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -48,7 +48,7 @@ def _ranked(per: DataFrame) -> DataFrame:
     sizes = placed.groupBy(F.lit(0).alias("all"), "bucket").agg(F.count("*").alias("n"))
     last = placed.agg(F.max("bucket")).first()[0]
     before = starts(sizes, ["all"], "n", (last or 0) + 1)
-    return placed.join(before, "bucket").withColumn("nth", F.col("start") + F.col("row")).drop("bucket", "row", "all", "start")
+    return placed.join(merged(before), "bucket").withColumn("nth", F.col("start") + F.col("row")).drop("bucket", "row", "all", "start")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -94,10 +94,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES,
     per_bucket = keep(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
     begin = keep(starts(per_bucket, ["source"], "size", 16**digits), "mix-starts")
     targets = keep(source_targets(per_bucket, weights, max_repeats), "mix-targets")
-    begin = keep(begin.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "start", "source_size", "target", "turn"), "mix-plans")
+    begin = keep(begin.alias("s").join(sent(targets).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "start", "source_size", "target", "turn"), "mix-plans")
     within = W.partitionBy("source", "bucket").orderBy("place", "doc_id", "size")
     rows = rows.withColumn("run", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    rows = rows.alias("r").join(begin.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
+    rows = rows.alias("r").join(sent(begin).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
     rows = rows.select("doc_id", "r.source", "size", "source_size", "target", "turn", (F.col("start") + F.col("run")).alias("at"))
     budget = F.round("target").cast("long")
     parts = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - F.col("at") - F.lit(e) * F.col("source_size"))) for e in range(max_repeats)]
@@ -124,7 +124,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     own, at = fresh(docs, "mix_id", "mix_at")
     plan = mix(docs.select("doc_id", "text", "source")).where("copies > 0").select(F.col("doc_id").alias(own), F.slice("positions", F.lit(1), F.col("copies")).alias(at))
     plan = keep(plan.groupBy(own).agg(F.max(at).alias(at)), "mix-plan")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own))).withColumn(at, F.explode(at))
+    rows = docs.join(merged(plan), F.col("doc_id").eqNullSafe(F.col(own))).withColumn(at, F.explode(at))
     return rows.orderBy(at, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
