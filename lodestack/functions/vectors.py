@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,5 +33,11 @@ def valid_vector(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & finite, F.lit(False))
 
 
+@F.arrow_udf(StringType())
+def _literals(vectors: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else "[" + ",".join([f"{x:.8f}" for x in v if x is not None]) + "]" for v in vectors.to_pylist()], pa.string())
+
+
 def vector_literal(vector: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    """[x,y,...] with 8 decimals, rounded from the exact binary values, halves to even; null components are left out. Java's formatter rounds their shortest decimals."""
+    return _literals(vector.cast("array<double>"))

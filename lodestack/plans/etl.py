@@ -82,7 +82,8 @@ def embedding_inputs(spark, sf_dir):
 
 
 def vector_literals(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.length(V.vector_literal(F.col("embedding"))).cast("long").alias("chars"), F.md5(V.vector_literal(F.col("embedding"))).alias("literal_md5"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.vector_literal(F.col("embedding")).alias("literal"))
+    return rows.select("vec_id", F.length("literal").cast("long").alias("chars"), F.md5("literal").alias("literal_md5"))
 
 
 def content_checks(spark, sf_dir):

@@ -1,5 +1,6 @@
 """BM25, fusion, nearest neighbours and the evidence gate on small cases with known answers."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,16 @@ def test_vector_expressions(spark):
     assert df.select(V.vector_literal(F.col("b")).alias("l")).first().l == "[2.00000000,0.00000000]"
 
 
+def test_vector_literal_rounds_exact_values(spark):
+    # 2^-9 lies halfway between two literals; the next two are nearest to decimals that end in 5, from below and above
+    values = [0.001953125, 0.005859375, 1.5e-8, 5e-9, -0.0, -1e-12, float("nan"), float("-inf"), 1e22, None]
+    df = spark.createDataFrame([(values,), ([],), (None,)], "v array<double>")
+    want = "SELECT '[' || array_to_string(list_transform(v, lambda x: format('{:.8f}', x)), ',') || ']' FROM (VALUES (1, $1::DOUBLE[]), (2, []), (3, NULL)) t(i, v) ORDER BY i"
+    want = [r[0] for r in duckdb.execute(want, [values]).fetchall()]
+    assert [r.l for r in df.select(V.vector_literal(F.col("v")).alias("l")).collect()] == want
+    assert want[0].startswith("[0.00195312,0.00585938,0.00000001,0.00000001,-0.00000000,")
+
+
 QUESTION = "How much may an eligible council request?"
 
 
