@@ -76,5 +76,5 @@ def scores(found: DataFrame, terms: DataFrame, scopes: Scopes, k1: float = bm25.
     within = asked.select("scope", "term").distinct().join(tf, "term").withColumn("bucket", F.bitmap_bucket_number("doc_id"))
     within = keep(within.join(scopes.bits, ["scope", "bucket"]).where(has(F.col("bits"), F.col("doc_id"))).select("scope", "doc_id", "dl", "term", "tf"), "scope-postings")
     df = within.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    weights = df.join(stats, "scope").join(asked, ["scope", "term"]).select("scope", "query_id", "term", bm25.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+    weights = df.join(stats, "scope").join(asked, ["scope", "term"]).select("scope", "query_id", "term", "df", bm25.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     return bm25.summed(within, weights, ["scope"], k1, b).select("query_id", "doc_id", "bm25_score")

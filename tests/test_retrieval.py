@@ -47,6 +47,18 @@ def test_bm25_by_hand(spark):
     assert got == pytest.approx({1: part(2, 1, 3) + part(1, 2, 3), 2: part(1, 2, 2)})
 
 
+@pytest.mark.parametrize("sent_rows", [bm25.SENT_ROWS, 1])
+def test_bm25_tasks_are_as_many_as_their_pairs_need(spark, monkeypatch, sent_rows):
+    c = spark.createDataFrame([("s", i, f"red apple w{i % 5}") for i in range(60)], "scope string, doc_id long, text string")
+    q = spark.createDataFrame([(0, "red"), (1, "apple w1"), (2, "w2")], "query_id long, text string")
+    want = {(r.query_id, r.doc_id): r.bm25_score for r in bm25.scores(c, q).collect()}
+    monkeypatch.setattr(bm25, "PAIRS_PER_TASK", 10, raising=False)
+    # 60 + 60 + 12 + 12 rows of query, document and term
+    found = bm25.scores(c, q, sent_rows=sent_rows)
+    assert found.rdd.getNumPartitions() == 15
+    assert {(r.query_id, r.doc_id): r.bm25_score for r in found.collect()} == pytest.approx(want)
+
+
 def test_fusion(spark):
     dense = spark.createDataFrame([(0, 1, 0.2, 1), (0, 2, 0.3, 2)], "query_id long, doc_id long, distance double, rank int")
     sparse = spark.createDataFrame([(0, 3, 9.0, 1), (0, 1, 5.0, 2), (7, 1, 5.0, 1)], "query_id long, doc_id long, bm25_score double, rank int")
