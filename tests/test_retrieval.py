@@ -135,6 +135,11 @@ def test_vector_literal_rounds_exact_values(spark):
     assert want[0].startswith("[0.00195312,0.00585938,0.00000001,0.00000001,-0.00000000,")
 
 
+def test_a_missing_text_has_no_reranker_score(spark):
+    df = spark.createDataFrame([("what council", "a council"), ("what council", ""), ("what council", None)], "q string, t string")
+    assert [r.s for r in df.select(retrieval.overlap_score(F.col("q"), F.col("t")).alias("s")).collect()] == [-2.0, -3.0, None]
+
+
 QUESTION = "How much may an eligible council request?"
 
 
