@@ -45,8 +45,7 @@ def semantic_duplicates(windows: DataFrame, corpus: DataFrame, max_distance: flo
     within max_distance: blocks of vectors that can't be so near aren't read.
     """
     asked = windows.select((F.col("doc_id") * 3 + F.col("window")).alias("query_id"), "vector")
-    near = PivotIndex(corpus.select("doc_id", "vector")).within(asked, max_distance)
-    found = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id"))).where(F.col("rank") <= k)
+    found = PivotIndex(corpus.select("doc_id", "vector")).within(asked, max_distance, k)
     found = found.join(corpus.select("doc_id", "owner"), "doc_id").select(F.floor(F.col("query_id") / 3).alias("doc_id"), (F.col("query_id") % 3).alias("window"), "owner", "distance").where("owner <> doc_id")
     near = found.groupBy("doc_id", "window", "owner").agg(F.min("distance").alias("distance"))
     counts = windows.groupBy("doc_id").agg(F.count("*").alias("n_windows")).where("n_windows >= 2")

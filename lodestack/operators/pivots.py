@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from lodestack.storage import keep
 SLACK = 1e-6
 RIGHT_ANGLE = float(np.sqrt(2))
 MAX_PIVOTS = 256
+#: Stretches of blocks meet in so many tiles, and more where a stretch would be larger than so many bytes.
+TILES, TILE_BYTES = 64, 64 << 20
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -27,6 +29,34 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
+def _near(q: np.ndarray, c: np.ndarray, k: int | None, max_distance: float | None, q_short: np.ndarray, c_short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, distance): all pairs within max_distance, or else those where c is among the k nearest of q or as near, to 9 decimals. Single precision only tells what can't be near."""
+    if max_distance is not None:
+        slack = 1e-5 + 2e-7 * q.shape[1]
+        # flat positions are found several times faster than rows and columns
+        query, at = np.divmod(np.flatnonzero(q_short @ c_short.T >= np.float32(1 - max_distance - slack)), len(c))
+        distance = 1 - np.einsum("ij,ij->i", q[query], c[at])
+        within = distance <= max_distance
+        return query[within], at[within], distance[within]
+    distance = 1 - q @ c.T
+    rounded, most = np.round(distance, 9), min(k, len(c)) - 1
+    query, at = np.nonzero(rounded <= np.partition(rounded, most, axis=1)[:, most : most + 1])
+    return query, at, distance[query, at]
+
+
+def _best(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Of rows (block, query, id, distance) the k nearest of each query; equal distances, to 9 decimals, by id."""
+    _, query, ids, distance = rows
+    order = np.lexsort((ids, np.round(distance, 9), query))
+    query = query[order]
+    order = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+    return tuple(x[order] for x in rows)
+
+
+def _frame(rows: tuple[np.ndarray, ...]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("q_block", "query_id", "doc_id", "distance"), rows, strict=True)))
+
+
 class PivotIndex:
     """corpus(doc_id, vector) in blocks, written once. Rows without a vector are left out; a vector meets those of its own length only.
 
@@ -127,29 +157,61 @@ class PivotIndex:
         bound = F.when(F.col("zero") | (F.col("pivot") < 0), F.lit(RIGHT_ANGLE)).otherwise(F.greatest(F.col("near") - F.col("hi"), F.col("lo") - F.col("far"), F.lit(0.0)))
         return rows.withColumn("bound", bound)
 
+    def _tile(self, blocks: DataFrame, block: str, n_tiles: int) -> Column:
+        """The stretch, of n_tiles of about as many blocks, that a block of the written table blocks stands in; neighbours in the order of pivots and radii stand together."""
+        task = F.shiftright(block, 33)
+        # a row for each task that packed blocks; within it they were numbered one by one
+        counts = {r[0]: r[1] for r in blocks.groupBy(task.cast("int")).agg(F.count("*")).collect()}
+        ends = dict(zip(sorted(counts), np.cumsum([counts[t] for t in sorted(counts)]).tolist(), strict=True))
+        if not ends:
+            return F.lit(0)
+        before = F.create_map(*[F.lit(x) for t in ends for x in (t, ends[t] - counts[t])])
+        at = F.element_at(before, task.cast("int")) + F.col(block) - F.shiftleft(task, 33)
+        return F.floor(at * F.lit(n_tiles) / F.lit(max(ends.values()))).cast("int")
+
     def _measured(self, pairs: DataFrame, asked: DataFrame, k: int | None, max_distance: float | None) -> DataFrame:
-        """(q_block, query_id, doc_id, distance) of pairs(q_block, block): of each pair of blocks the k nearest of each query, with all that are as near, or all within max_distance."""
+        """(q_block, query_id, doc_id, distance) of the written pairs(q_block, block): the k nearest of each query among those of its tile's blocks, or all, and none farther than max_distance.
+
+        Blocks of queries and of the corpus lie in stretches, and a tile is a stretch of each. Every block is sent once to each tile where it meets one, not once for each block that
+        it meets. A tile's queries are in memory while the corpus goes by, TILE_BYTES of them.
+        """
+        size = lambda df, n: df.agg(F.sum(F.col(n).cast("long") * F.col("dims") * 8)).first()[0] or 1
+        q_bytes, c_bytes = size(asked, "q_n"), size(self.blocks, "n")
+        most = int(np.sqrt(TILES))
+        q_tiles = max(-(-q_bytes // TILE_BYTES), min(most, round(np.sqrt(TILES * q_bytes / c_bytes))), 1)
+        c_tiles = max(-(-c_bytes // TILE_BYTES), TILES // q_tiles, 1)
+        placed = pairs.select("q_block", "block", self._tile(asked, "q_block", q_tiles).alias("q_tile"), self._tile(self.blocks, "block", c_tiles).alias("c_tile"))
+        own = [F.lit(0).alias("side"), F.col("q_block").alias("number"), "dims", F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), F.lit(None).cast("array<long>").alias("meets")]
+        left = placed.select("q_tile", "c_tile", "q_block").distinct().join(asked.select("q_block", "dims", "q_ids", "q_vectors"), "q_block").select("q_tile", "c_tile", *own)
+        # a tile has few blocks of queries, so the list of those that a block meets there is short
+        meets = placed.groupBy("q_tile", "c_tile", "block").agg(F.collect_list("q_block").alias("meets"))
+        right = meets.join(self.blocks.select("block", "dims", "ids", "vectors"), "block").select("q_tile", "c_tile", F.lit(1).alias("side"), F.col("block").alias("number"), "dims", "ids", "vectors", "meets")
+        self.tiles = tiles = left.unionByName(right).withColumn("tile", F.col("q_tile") * c_tiles + F.col("c_tile")).drop("q_tile", "c_tile")
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tile, asked_here, best = None, {}, {}
             for pdf in batches:
                 for row in pdf.to_dict("records"):
-                    q, c = (np.frombuffer(row[n], np.float64).reshape(-1, row["dims"]) for n in ("q_vectors", "vectors"))
-                    q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                    distance = 1 - q @ c.T
-                    rounded = np.round(distance, 9)
-                    limit = np.full(len(q), np.inf if max_distance is None else max_distance)
-                    if k is not None:
-                        limit = np.minimum(limit, np.partition(rounded, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1])
-                    query, at = np.nonzero((rounded if k is not None else distance) <= limit[:, None])
-                    if k is not None:
-                        order = np.lexsort((ids[at], rounded[query, at], query))
-                        query, at = query[order], at[order]
-                        first = np.arange(len(query)) - np.searchsorted(query, query) < k
-                        query, at = query[first], at[first]
-                    yield pd.DataFrame({"q_block": row["q_block"], "query_id": q_ids[query], "doc_id": ids[at], "distance": distance[query, at]})
-
-        rows = pairs.select("q_block", "block").join(asked.select("q_block", "q_ids", "q_vectors"), "q_block").join(self.blocks.select("block", "dims", "ids", "vectors"), "block")
-        return rows.mapInPandas(measure, "q_block long, query_id long, doc_id long, distance double")
+                    if row["tile"] != tile:
+                        yield from map(_frame, best.values())
+                        tile, asked_here, best = row["tile"], {}, {}
+                    ids, vectors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dims"])
+                    short = vectors.astype(np.float32)
+                    if row["side"] == 0:
+                        asked_here[row["number"]] = (ids, vectors, short)
+                        continue
+                    for number in row["meets"]:
+                        q_ids, q, q_short = asked_here[number]
+                        query, at, distance = _near(q, vectors, k, max_distance, q_short, short)
+                        rows = (np.full(len(query), number), q_ids[query], ids[at], distance)
+                        if k is None:
+                            yield _frame(rows)
+                        elif len(query):
+                            best[number] = _best(rows if number not in best else tuple(map(np.concatenate, zip(best[number], rows, strict=True))), k)
+            yield from map(_frame, best.values())
+
+        dealt = tiles.repartition(int(q_tiles * c_tiles), "tile").sortWithinPartitions("tile", "side", "number")
+        return dealt.mapInPandas(measure, "q_block long, query_id long, doc_id long, distance double")
 
     def nearest(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, doc_id, distance, rank): knn.nearest's result for queries(query_id, vector).
@@ -173,10 +235,14 @@ class PivotIndex:
         order = W.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id")
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def within(self, queries: DataFrame, max_distance: float) -> DataFrame:
-        """(query_id, doc_id, distance) of all pairs that are max_distance apart at most."""
+    def within(self, queries: DataFrame, max_distance: float, k: int | None = None) -> DataFrame:
+        """(query_id, doc_id, distance) of all pairs that are max_distance apart at most; with k, of each query's k nearest such.
+
+        With k no group of near vectors becomes pairs of all its members: a task hands on k of a query at most.
+        """
         asked, reach = self._asked(queries, 1)
         limit = float(np.sqrt(max(2 * max_distance, 0))) + SLACK
         near = keep(self._pairs(reach.where(F.col("bound") <= limit)).where(F.col("bound") <= limit).select("q_block", "block"), "pivot-near")
         self.read = (near,)
-        return self._measured(near, asked, None, max_distance).select("query_id", "doc_id", "distance")
+        found = self._measured(near, asked, k, max_distance)
+        return (found if k is None else self._ranked(found, k)).select("query_id", "doc_id", "distance")

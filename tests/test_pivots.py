@@ -70,6 +70,29 @@ def test_within_equals_brute_force(spark, limit):
     assert sure <= rows <= {(q, i) for q, near in plain(queries, corpus).items() for d, i in near if d <= limit + 1e-8}
 
 
+def test_blocks_are_sent_once_to_a_tile_and_not_once_for_each_block_they_meet(spark):
+    rng = np.random.default_rng(7)
+    corpus = [(i, rng.normal(size=8)) for i in range(2000)]
+    index = PivotIndex(frame(spark, corpus, "doc_id"), n_pivots=8, block_rows=16)
+    index.within(frame(spark, corpus, "query_id"), 0.5)
+    blocks, pairs = index.blocks.count(), index.read[0].count()
+    assert blocks >= 125 and pairs > 40 * blocks
+    assert index.tiles.count() <= 2 * 8 * blocks
+
+
+@pytest.mark.parametrize("tile_bytes", [2048, 1 << 20])
+def test_the_nearest_within_a_distance_are_ranked_over_all_tiles(spark, monkeypatch, tile_bytes):
+    monkeypatch.setattr("lodestack.operators.pivots.TILE_BYTES", tile_bytes)
+    rng = np.random.default_rng(8)
+    corpus = clustered(rng, 200) + [(1000 + i, [1.0] * 8) for i in range(60)] + [(900, [0.0] * 8), (901, None), (902, [1.0, 2.0])]
+    index = PivotIndex(frame(spark, corpus, "doc_id"), n_pivots=5, block_rows=8)
+    rows = index.within(frame(spark, corpus, "query_id"), 0.05, 3).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.query_id, []).append((round(r.distance, 9), r.doc_id))
+    assert {q: sorted(v) for q, v in found.items()} == {q: near for q, rows in plain(corpus, corpus).items() if (near := [x for x in rows if x[0] <= 0.05][:3])}
+
+
 def test_empty_sides(spark):
     some, none = clustered(np.random.default_rng(5), 5), []
     assert PivotIndex(frame(spark, none, "doc_id")).nearest(frame(spark, some, "query_id"), 3).collect() == []
