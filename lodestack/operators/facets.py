@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.storage import keep
+from lodestack.storage import keep, small
 
 #: Dimensions of filters, and the document columns that they look at. One value of a dimension is enough, but a document needs all tags.
 DIMENSIONS = {"policy_areas": "policy_areas", "country_regions": "country_region", "source_organisations": "source_organisation", "languages": "language", "tags": "keywords"}
 ALL_NEEDED = "tags"
 YEARS = "years"
+#: Filters are sent to every task up to so many rows; beyond, they're joined by shuffles.
+SENT_ROWS = 20_000
 
 
 def _lower(values: Column) -> Column:
@@ -85,5 +87,8 @@ def hits(filters: DataFrame, index: FacetIndex) -> DataFrame:
     parts = keep(wanted(filters, index), "facet-wanted")
     costs = parts.join(index.counts, ["dimension", "value"], "left").groupBy("query_id", "part").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
     rarest = costs.groupBy("query_id").agg(F.min_by("part", F.struct("cost", "part")).alias("part"))
-    found = parts.join(rarest, ["query_id", "part"]).join(index.postings, ["dimension", "value"]).select("query_id", "doc_id").distinct()
-    return found.join(index.docs, "doc_id").alias("d").join(filters.alias("f"), F.col("d.query_id") == F.col("f.query_id")).where(matches()).select("f.query_id", "d.doc_id")
+    # the filters go to the documents, not the other way: few rows of filters would be few tasks, in which all that they find is joined
+    sent, _ = small(keep(parts.join(rarest, ["query_id", "part"]), "facet-rarest"), SENT_ROWS)
+    asked, _ = small(keep(filters, "facet-filters"), SENT_ROWS)
+    found = index.postings.join(sent, ["dimension", "value"]).select("query_id", "doc_id").distinct()
+    return found.join(index.docs, "doc_id").alias("d").join(asked.alias("f"), F.col("d.query_id") == F.col("f.query_id")).where(matches()).select("f.query_id", "d.doc_id")

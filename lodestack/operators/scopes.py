@@ -16,6 +16,8 @@ from lodestack.storage import keep
 ALL = "*"
 #: A document's length is summed by its bits, of which it has so many at most; -1 is the plane of all documents.
 LENGTH_BITS = 31
+#: Documents of a bitmap; bits are looked up in pieces of it, for so many documents each.
+BUCKET, PIECE = 32_768, 1024
 
 
 def bitmaps(rows: DataFrame, *by: str) -> DataFrame:
@@ -23,9 +25,20 @@ def bitmaps(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
 
 
-def has(bits: Column, doc_id: Column) -> Column:
-    """Whether a bitmap of the document's bucket has the document."""
-    at = F.bitmap_bit_position(doc_id)
+def pieces(bits: DataFrame) -> DataFrame:
+    """bits(..., bucket, bits) cut into pieces of PIECE documents, those without any left out: a row that looks into a bitmap copies it, 4,096 bytes if it is whole."""
+    cut = bits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(BUCKET // PIECE - 1))))
+    return cut.withColumn("bits", F.substr("bits", F.col("piece") * (PIECE // 8) + 1, F.lit(PIECE // 8))).where(F.bitmap_count("bits") > 0)
+
+
+def piece_of(doc_id: Column) -> Column:
+    """The piece, within its bucket, that a document's bit is in."""
+    return F.floor(F.bitmap_bit_position(doc_id) / PIECE).cast("int")
+
+
+def has(bits: Column, doc_id: Column, size: int = BUCKET) -> Column:
+    """Whether a bitmap of the document's bucket, or its piece of so many documents, has the document."""
+    at = F.bitmap_bit_position(doc_id) % size
     byte = F.conv(F.hex(F.substr(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int").bitwiseAND(F.lit(1)) == 1
 
@@ -70,11 +83,15 @@ def scores(found: DataFrame, terms: DataFrame, scopes: Scopes, k1: float = bm25.
 
     found has a row of null term for each document. Number of documents, document frequency and average length are the scope's own.
     """
-    stats = statistics(found.where("term is null").select("doc_id", "dl"), scopes.bits)
-    asked = keep(terms.join(scopes.of_query, "query_id"), "scope-terms")
+    # scopes go by numbers here: their names are long, and would go with every posting
+    numbers = keep(scopes.of_query.select("scope").distinct().withColumn("number", F.monotonically_increasing_id()), "scope-numbers")
+    numbered = lambda df: df.join(numbers, "scope").drop("scope").withColumnRenamed("number", "scope")
+    bits = keep(numbered(scopes.bits), "scope-bits")
+    stats = statistics(found.where("term is null").select("doc_id", "dl"), bits)
+    asked = keep(terms.join(numbered(scopes.of_query), "query_id"), "scope-terms")
     tf = found.where("term is not null").select("doc_id", "dl", "term", "tf")
-    within = asked.select("scope", "term").distinct().join(tf, "term").withColumn("bucket", F.bitmap_bucket_number("doc_id"))
-    within = keep(within.join(scopes.bits, ["scope", "bucket"]).where(has(F.col("bits"), F.col("doc_id"))).select("scope", "doc_id", "dl", "term", "tf"), "scope-postings")
+    within = asked.select("scope", "term").distinct().join(tf, "term").withColumns({"bucket": F.bitmap_bucket_number("doc_id"), "piece": piece_of(F.col("doc_id"))})
+    within = keep(within.join(pieces(bits), ["scope", "bucket", "piece"]).where(has(F.col("bits"), F.col("doc_id"), PIECE)).select("scope", "doc_id", "dl", "term", "tf"), "scope-postings")
     df = within.groupBy("scope", "term").agg(F.count("*").alias("df"))
     weights = df.join(stats, "scope").join(asked, ["scope", "term"]).select("scope", "query_id", "term", "df", bm25.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     return bm25.summed(within, weights, ["scope"], k1, b).select("query_id", "doc_id", "bm25_score")

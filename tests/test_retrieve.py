@@ -116,3 +116,31 @@ def test_membership_of_bitmaps(spark):
     bits = scopes.bitmaps(rows)
     probe = spark.createDataFrame([(i,) for i in [*ids, 2, 10, 32_767, (1 << 40) + 1]], "doc_id long").withColumn("bucket", F.bitmap_bucket_number("doc_id"))
     assert sorted(r.doc_id for r in probe.join(bits, "bucket").where(scopes.has(F.col("bits"), F.col("doc_id"))).collect()) == ids
+
+
+def test_pieces_of_bitmaps_have_what_the_bitmaps_have(spark):
+    ids = [0, 7, 8, 1023, 1024, 32767, 32768, 40000, 65535, 70001]
+    bits = scopes.bitmaps(spark.createDataFrame([("a", i) for i in ids] + [("b", 8)], "scope string, doc_id long"), "scope")
+    cut = scopes.pieces(bits)
+    assert {r[0] for r in cut.select(F.length("bits")).collect()} == {scopes.PIECE // 8} and cut.where("scope = 'b'").count() == 1
+    probe = spark.range(0, 100_000).select(F.col("id").alias("doc_id"), F.bitmap_bucket_number("id").alias("bucket"), scopes.piece_of(F.col("id")).alias("piece"))
+    found = probe.join(cut.where("scope = 'a'"), ["bucket", "piece"]).where(scopes.has(F.col("bits"), F.col("doc_id"), scopes.PIECE))
+    assert sorted(r.doc_id for r in found.collect()) == ids
+
+
+def test_filters_are_sent_to_the_postings_and_not_the_other_way(spark):
+    from lodestack.operators import facets
+
+    docs = spark.createDataFrame([(i, ["asia"], "NATION", "web", "en", ["en"], 2000 + i % 20) for i in range(50)], "doc_id long, policy_areas array<string>, country_region string, source_organisation string, language string, keywords array<string>, year int")
+    empty = F.array().cast("array<string>")
+    filters = spark.range(3).select(F.col("id").alias("query_id"), *[(F.array(F.lit("EN")) if d == "languages" else empty).alias(d) for d in facets.DIMENSIONS], F.lit(2005).alias("year_from"), F.lit(None).cast("int").alias("year_to"))
+    found = facets.hits(filters, facets.FacetIndex(docs))
+    lines, sent = found._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = iter(lines[i + 1 :])
+            while (x := next(below, None)) is not None and len(x) - len(x.lstrip(" :+-")) > depth - 1:
+                sent.append(x)
+    assert any("facet-rarest" in x for x in sent) and not any("facet-postings" in x for x in sent)
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(q, i) for q in range(3) for i in range(50) if i % 20 >= 5}
