@@ -184,3 +184,14 @@ def test_web_gate_fails_closed(spark):
     df = spark.createDataFrame(rows, "query_id long, url string, ordinal int, text string, distance double, reranker_score double")
     assert {(r.url, r.text, r.passed) for r in evidence.web_gate(df, 0.45, 0.5).collect()} == {("u1", "near", False), ("u2", "near", True)}
     assert all(r.passed for r in evidence.web_gate(df, 0.45).collect())
+
+
+def test_runs_of_cjk_are_found_beside_any_other_character(spark):
+    from pyspark.sql import functions as F
+
+    from lodestack.functions.text import keyword_tokens
+
+    given = {"plain words": ["plain", "words"], "é ü": ["é", "ü"], "a\u3040\u30ffb": ["\u3040\u30ff", "b"], "x\u3400": ["\u3400", "x"], "\uf900\ufaff y": ["\uf900\ufaff", "y"], "\uac00 \U00020000": ["\uac00", "\U00020000"], "": [], None: []}
+    rows = spark.createDataFrame([(k,) for k in given], "text string").select("text", keyword_tokens(F.col("text")).alias("t")).collect()
+    # a lone letter a is a glue word
+    assert {r.text: r.t for r in rows} == given
