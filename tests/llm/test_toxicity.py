@@ -132,3 +132,62 @@ def test_columns_of_clashing_names(spark):
     docs = spark.createDataFrame([(i, "such trash" if i % 2 else "calm words", 0.5, 7) for i in range(40)], "doc_id long, text string, score double, toxic int")
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(40)], "doc_id long, toxic int, text string")
     assert {r.doc_id: r.score > 0.5 for r in tx.score(docs, tx.learn(docs, labels)).collect()} == {i: bool(i % 2) for i in range(40)}
+
+
+def test_clusters_keep_texts_of_other_words_unread():
+    """Two vocabularies, mixed in order: a text of one reads no block of the other, and what it finds is what plain products find."""
+    rng = np.random.default_rng(1)
+    n, terms = 1024, 600
+
+    def counts(half, some):
+        idx = half * 300 + rng.choice(300, some, replace=False, p=(p := 1 / np.arange(1, 301)) / p.sum())
+        return idx, rng.choice([1.0, 1.0, 1.0, 2.0, 5.0, 300.0], some)
+
+    vectors = [counts(k % 2, int(rng.integers(20, 60))) for k in range(n)]
+    vectors[10:40:2] = [vectors[0]] * 15  # ties
+    flat, sizes = np.concatenate([i for i, _ in vectors]), np.array([len(i) for i, _ in vectors])
+    clusters = tx.clusters_of(flat, sizes, terms, clusters=2)
+    assert len(set(clusters[::2])) == len(set(clusters[1::2])) == 1 and clusters[0] != clusters[1]
+    lengths = np.array([np.linalg.norm(w) for _, w in vectors])
+    index = tx.BlockMaxIndex(vectors, terms, 64, lengths, clusters)
+    # the commonest terms are rows of their own section alone, others lists; few weights are kept at all
+    assert [set((index.heavy[r] >= 300).tolist()) for r in index.rows] in ([{False}, {True}], [{True}, {False}])
+    assert index.once.n.sum() and 0 < index.more.n.sum() < index.once.n.sum()
+    seen, plain = set(), index._scores
+    index._scores = lambda i, w, blocks, out: (seen.update(blocks.tolist()), plain(i, w, blocks, out))
+    dense = np.zeros((n, terms))
+    for k, (i, w) in enumerate(vectors):
+        dense[k, i] = w / lengths[k]
+    queries = [(i, w / np.linalg.norm(w)) for i, w in (counts(0, int(rng.integers(1, 60))) for _ in range(70))]
+    queries.append((np.zeros(0, np.int64), np.zeros(0)))
+    for (idx, w), k, (best, got) in zip(queries, [12, 700] * 40, index.nearest_each(queries, ([12, 700] * 40)[: len(queries)])):
+        query = np.zeros(terms)
+        query[idx] = w
+        cosine = np.round(dense @ query, 9)
+        want = [e for e in np.lexsort((np.arange(n), -cosine))[:k] if cosine[e] > 0]
+        assert np.allclose(got, cosine[want], atol=2e-9) and (len(set(cosine[want])) < len(want) or best.tolist() == want)
+    assert {clusters[e] for b in seen for e in index.number[b * 64 : b * 64 + 64] if e < n} == {clusters[0]}
+
+
+def test_bags_of_texts_are_scored_as_the_texts(spark):
+    texts = [None, "", "such trash", "calm words", "word " * 70_000 + "trash", "none of these", *(f"calm words here w{i} " + "trash " * (i % 2 * i) for i in range(60))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "such trash"), (2, "calm")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6, 66)], "doc_id long, toxic int")
+    model, bags = tx.learn_bags(docs, labels)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    got = sorted(tx.score_bags(bags, model).collect(), key=key)
+    assert len(got) == len(texts) + 2 and got == sorted(tx.score(docs, model).collect(), key=key)
+
+
+@pytest.mark.parametrize("times", [[], [1.0], [1.0, 255.0], [1.0, 256.0, 70_000.0]])
+def test_bags_are_read_as_written(times):
+    ids = np.array([5, tx.SHORT + 7, tx.SHORT - 1], np.int32)[: len(times)]
+    *bag, lost = tx.Bag.of(ids, np.array(times), np.array([2.0, 3.0]))
+    got, n = tx.Bag.read(*bag)
+    assert dict(zip(got.tolist(), n.tolist(), strict=True)) == dict(zip(ids.tolist(), times, strict=True)) and lost == 13
+
+
+def test_query_takes_texts_apart_once(spark):
+    """Scores come from the bags that were counted: the plan of the result reads no text."""
+    plan = tx.op2_toxicity(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "rare" in plan and "text" not in plan
