@@ -186,18 +186,20 @@ class BlockMaxIndex:
         found, section = np.unique(np.zeros(self.blocks, np.int64) if clusters is None or not n else clusters[order][::block], return_inverse=True)
         #: First and last block of each section.
         self.sections = [(int(at[0]), int(at[-1]) + 1) for at in (np.flatnonzero(section == c) for c in range(len(found)))]
-        term = np.concatenate([i for i, _ in vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
+        term = np.concatenate([i for i, _ in vectors]).astype(np.int32) if n else np.zeros(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]).astype(np.float64) if n else np.zeros(0)
-        example = np.repeat(place, sizes)
-        key = term * len(found) + section[example // block]
+        example = np.repeat(place.astype(np.int32), sizes)
+        key = term * np.int64(len(found)) + section[example // block]
         by_key = np.argsort(key, kind="stable")
         term, example, weight, key = term[by_key], example[by_key], weight[by_key], key[by_key]
+        del by_key
         # in a section a row costs a product for each example, a list a slower step for each that has the term, if a text has it
         first = np.flatnonzero(np.diff(key, prepend=-1))
         here = np.diff(np.append(first, len(key)))
         room = np.array([(e - s) * block for s, e in self.sections], np.int64)[key[first] % len(found)]
         common = np.bincount(term, minlength=n_terms)[term[first]]
         long = np.repeat(here * common > ROW * room * n, here)
+        del key, first, here, room, common
         self.heavy = np.unique(term[long])
         self.row = np.full(n_terms, -1, np.int32)
         self.row[self.heavy] = np.arange(len(self.heavy))
